@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simvane.llm import nbsvm, quality_rules, toxicity
+from simvane.llm import language_id, nbsvm, quality_rules, toxicity
 from simvane.llm.vocabularies import path
 from simvane.session import table
 
@@ -23,8 +23,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.Rules(path("piece_bpe_32k.model")))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op7_toxicity, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op7_toxicity, op8_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
