@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.llm import bpe, language_id, nbsvm, quality_rules, toxicity
+from simvane.llm import bpe, language_id, line_dedup, nbsvm, quality_rules, toxicity
 from simvane.llm.vocabularies import path
 from simvane.session import table
 
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,8 +38,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op7_toxicity, op8_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op6_line_dedup, op7_toxicity, op8_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL}
