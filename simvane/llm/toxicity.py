@@ -10,6 +10,7 @@ A misspelt word shares most n-grams with the word meant, hence its vector.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,45 +56,43 @@ _LETTER[0x30:0x3A] = _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] =
 _LETTER[list(b"@$*'")] = True
 
 
-def word_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, spans: tx.SpanHash, bits: int, grams: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every given word itself and of its n-grams of ``grams`` characters; its ends are marked."""
-    shift = np.uint64(64 - bits)
-    words, buckets = [np.arange(len(starts))], [tx.mix(hashes + np.uint64(1)) >> shift]
-    leads = np.flatnonzero(tx.LEAD[data]) if len(data) else np.zeros(0, np.int64)
+def word_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, spans: tx.SpanHash, p: Parameters) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, buckets): first of every given word itself, then of its n-grams by length; a word's ends are marked."""
+    shift = np.uint64(64 - p.bits)
+    yield np.arange(len(starts)), (tx.mix(hashes + np.uint64(1)) >> shift).astype(np.int64)
+    leads = np.flatnonzero(tx.LEAD[data])
     at = np.searchsorted(leads, starts)
     lengths = np.searchsorted(leads, ends) - at
     bounds = np.append(leads, len(data))
-    total = int(lengths.sum())
-    word = np.repeat(np.arange(len(starts)), lengths)
-    begin = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)  # place in its word
-    place = np.repeat(at, lengths) + begin
-    for k in range(grams[0], grams[1] + 1):
-        ok = begin + k <= lengths[word]
-        w, p, b = word[ok], place[ok], begin[ok]
-        mark = (b == 0).astype(np.uint64) + np.uint64(2) * (b + k == lengths[w]).astype(np.uint64)
-        words.append(w)
-        buckets.append(tx.mix(spans(bounds[p], bounds[p + k]) + mark * np.uint64(0x2545F4914F6CDD1D)) >> shift)
-    return np.concatenate(words), np.concatenate(buckets).astype(np.int64)
+    for k in range(p.grams[0], p.grams[1] + 1):
+        n = np.maximum(lengths - k + 1, 0)
+        word = np.repeat(np.arange(len(starts)), n)
+        begin = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)  # place in its word
+        place = at[word] + begin
+        mark = (begin == 0).astype(np.uint64) + np.uint64(2) * (begin + k == lengths[word]).astype(np.uint64)
+        keys = spans(bounds[place], bounds[place + k]) + mark * np.uint64(0x2545F4914F6CDD1D)
+        yield word, (tx.mix(keys) >> shift).astype(np.int64)
 
 
 def bags(data: np.ndarray, offsets: np.ndarray, p: Parameters):
-    """Each row's distinct words: (rows, word numbers, weights, how many words), then the words' (word number, bucket) pairs."""
+    """Each row's distinct words: (rows, word numbers, weights, how many words), then the words' buckets by kind."""
     starts, ends = tx.runs(_LETTER[data], offsets)
     rows = tx.rows_of(starts, offsets)
     spans = tx.SpanHash(data)
     hashes = spans(starts, ends)
     distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    words, buckets = word_buckets(data, starts[first], ends[first], distinct, spans, p.bits, p.grams)
+    buckets = word_buckets(data, starts[first], ends[first], distinct, spans, p)
     pairs, counts = np.unique(rows * max(1, len(distinct)) + inverse, return_counts=True)
     rows, numbers = np.divmod(pairs, max(1, len(distinct)))
     weights = np.log1p(counts)
     weights /= (tx.per_row(rows, len(offsets) - 1, weights) + p.blank)[rows]
-    return rows, numbers, weights, len(distinct), words, buckets
+    return rows, numbers, weights, len(distinct), buckets
 
 
 def text_bag(data: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of one text and the weight that each has in the text's mean."""
-    _, numbers, weights, n, words, buckets = bags(data, np.array([0, len(data)]), p)
+    _, numbers, weights, n, kinds = bags(data, np.array([0, len(data)]), p)
+    words, buckets = (np.concatenate(x) for x in zip(*kinds, strict=True))
     share = np.bincount(numbers, weights, n) / np.maximum(np.bincount(words, minlength=n), 1)
     own, inverse = np.unique(buckets, return_inverse=True)
     return own.astype(np.int32), np.bincount(inverse, share[words], len(own)).astype(np.float32)
@@ -114,8 +113,12 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, p: Parameters) -> np.ndarray:
         n = len(offsets) - 1
-        rows, numbers, weights, kinds, words, buckets = bags(data, offsets, p)
-        word_gain = np.bincount(words, self.gain[buckets], kinds) / np.maximum(np.bincount(words, minlength=kinds), 1)
+        rows, numbers, weights, kinds, parts = bags(data, offsets, p)
+        word_gain, pieces = np.zeros(kinds), np.zeros(kinds)
+        for words, buckets in parts:
+            word_gain += np.bincount(words, self.gain[buckets], kinds)
+            pieces += np.bincount(words, minlength=kinds)
+        word_gain /= np.maximum(pieces, 1)
         score = self.probability(tx.per_row(rows, n, weights * word_gain[numbers]) + self.bias)
         score[tx.per_row(rows, n) == 0] = self.prior
         return score
