@@ -3,8 +3,8 @@
 A word is the mean of the vectors of its own bucket and of its n-grams' buckets; a text is the mean
 of its distinct words, each weighing log(1 + its count), and of some blank words, so that a handful
 of words decides little. A linear softmax over that mean tells the classes. Vectors and softmax are
-trained together in NumPy; a rising curve fitted on rows left out of that (pooled neighbours, joined
-by straight lines) turns logits into probabilities under the classes' shares among all labelled rows.
+trained together in NumPy; a rising curve fitted on rows left out of that turns logits into
+probabilities under the classes' shares among all labelled rows.
 A misspelt word shares most n-grams with the word meant, hence its vector.
 """
 
@@ -98,19 +98,45 @@ def text_bag(data: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
     return own.astype(np.int32), np.bincount(inverse, share[words], len(own)).astype(np.float32)
 
 
+@dataclass
+class Curve:
+    """Probability of label 1: it rises from ``low`` to ``high``, since some labels no text explains."""
+
+    centre: float
+    slope: float
+    low: float
+    high: float
+
+    def __call__(self, logit: np.ndarray) -> np.ndarray:
+        return self.low + (self.high - self.low) / (1 + np.exp(-np.clip(self.slope * (logit - self.centre), -40, 40)))
+
+
+def rising_curve(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Curve:
+    """The likeliest curve over a grid of centres, slopes and ends; ``low`` is the share of 1 among the lower half of the 0s."""
+    zeros = logit[y == 0]
+    under = logit <= np.median(zeros)
+    low = min(0.5, max(1e-4, float(weight[under] @ y[under] / weight[under].sum())))
+    width = float(np.median(np.abs(zeros - np.median(zeros)))) or 1.0
+    centres = np.quantile(logit, np.linspace(0.1, 0.998, 80))
+    best, found = -np.inf, Curve(0.0, 1.0, low, 0.99)
+    for high in (0.8, 0.9, 0.96, 0.99):
+        for slope in 0.1 * 1.6 ** np.arange(10) / width:
+            p = np.clip(Curve(centres[:, None], slope, low, max(high, low + 0.1))(logit[None, :]), 1e-6, 1 - 1e-6)
+            gain = (np.log(p) @ (weight * y)) + (np.log1p(-p) @ (weight * (1 - y)))
+            if gain.max() > best:
+                best, found = gain.max(), Curve(float(centres[gain.argmax()]), float(slope), low, max(high, low + 0.1))
+    return found
+
+
 @dataclass
 class Model:
     """``gain`` of a bucket: its vector times the difference of the two classes' softmax weights."""
 
     gain: np.ndarray
     bias: float
-    curve: tuple[np.ndarray, np.ndarray]  # logits and their probabilities, both rising
+    curve: Curve
     prior: float
 
-    def probability(self, logit: np.ndarray) -> np.ndarray:
-        # the small smooth part keeps apart what the curve's flat ends would tie
-        return 0.998 * np.interp(logit, *self.curve) + 0.002 / (1 + np.exp(-np.clip(logit, -40, 40)))
-
     def scores(self, data: np.ndarray, offsets: np.ndarray, p: Parameters) -> np.ndarray:
         n = len(offsets) - 1
         rows, numbers, weights, kinds, parts = bags(data, offsets, p)
@@ -119,22 +145,11 @@ class Model:
             word_gain += np.bincount(words, self.gain[buckets], kinds)
             pieces += np.bincount(words, minlength=kinds)
         word_gain /= np.maximum(pieces, 1)
-        score = self.probability(tx.per_row(rows, n, weights * word_gain[numbers]) + self.bias)
+        score = self.curve(tx.per_row(rows, n, weights * word_gain[numbers]) + self.bias)
         score[tx.per_row(rows, n) == 0] = self.prior
         return score
 
 
-def rising_curve(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted isotonic regression by pooling neighbours: each pool's mean logit and mean label."""
-    pools: list[list[float]] = []
-    for i in np.argsort(logit, kind="stable"):
-        pools.append([logit[i] * weight[i], y[i] * weight[i], weight[i]])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
-    return np.array([a / w for a, _, w in pools]), np.array([b / w for _, b, w in pools])
-
-
 def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, p: Parameters) -> tuple[np.ndarray, float]:
     """Vectors and softmax together, a text at a time with steps that adapt to each bucket; returns (gain, bias)."""
     rng = np.random.default_rng(p.seed)
@@ -173,7 +188,7 @@ def fit(rows: list[tuple[int, int, bytes]], sizes: dict[int, int], p: Parameters
     prior = sizes.get(1, 0) / total if total else 0.5
     y = np.array([r[1] for r in rows], int)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(1 << p.bits), 0.0, (np.zeros(1), np.full(1, prior)), prior)
+        return Model(np.zeros(1 << p.bits), 0.0, Curve(0.0, 0.0, prior, prior), prior)
     docs = []
     for _, _, raw in rows:
         n = len(raw) // 8
