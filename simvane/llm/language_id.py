@@ -191,7 +191,7 @@ def training_counts(documents: DataFrame, p: Parameters) -> list[tuple[str, int,
     each = max(1, p.sample_rows // len(sizes))
     # the ids of smallest hash: below a bound that leaves some more than ``each`` of a language
     spark = documents.sparkSession
-    below = [(lang, int(-(2**63) + min(1.0, (each + 6 * each**0.5) / n) * (2**64 - 1))) for lang, n in sizes.items()]
+    below = [(lang, min(2**63 - 1, -(2**63) + int((each + 6 * each**0.5) / n * 2**64))) for lang, n in sizes.items()]
     ranked = own.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(spark.createDataFrame(below, "lang string, below long")), "lang").where("h <= below")
     chosen: dict[str, set] = {}
     for _, lang, i in sorted((r["h"], r["lang"], r["doc_id"]) for r in ranked.select("h", "lang", "doc_id").distinct().collect()):
