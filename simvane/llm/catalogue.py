@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.llm import bpe, language_id, line_dedup, nbsvm, quality_rules, simhash, toxicity
+from simvane.llm import bpe, embedding_dedup, language_id, line_dedup, nbsvm, quality_rules, simhash, toxicity
 from simvane.llm.vocabularies import path
 from simvane.session import table
 
@@ -25,6 +25,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -42,7 +46,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op4_simhash, op6_line_dedup, op7_toxicity, op8_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op4_simhash, op5_embedding_dedup, op6_line_dedup, op7_toxicity, op8_quality_rules, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
