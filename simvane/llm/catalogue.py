@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.llm import bpe, embedding_dedup, language_id, line_dedup, nbsvm, quality_rules, simhash, toxicity
+from simvane.llm import bpe, embedding_dedup, html_text, language_id, line_dedup, nbsvm, quality_rules, simhash, toxicity
 from simvane.llm.vocabularies import path
 from simvane.session import table
 
@@ -41,12 +41,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.Rules(path("piece_bpe_32k.model")))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op4_simhash, op5_embedding_dedup, op6_line_dedup, op7_toxicity, op8_quality_rules, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op4_simhash, op5_embedding_dedup, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_html_text, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
