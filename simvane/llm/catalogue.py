@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simvane.llm import bpe, embedding_dedup, html_text, language_id, line_dedup, nbsvm, quality_rules, simhash, toxicity
+from simvane.llm import bpe, embedding_dedup, html_text, language_id, line_dedup, mixing, nbsvm, quality_rules, simhash, toxicity
 from simvane.llm.vocabularies import path
 from simvane.session import table
 
@@ -21,6 +21,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -50,8 +54,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op4_simhash, op5_embedding_dedup, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_html_text, op10_language_id)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe, op3_mixing, op4_simhash, op5_embedding_dedup, op6_line_dedup, op7_toxicity, op8_quality_rules, op9_html_text, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op3_mixing": mixing.oracle_sql(), "op6_line_dedup": line_dedup.ORACLE_SQL}
