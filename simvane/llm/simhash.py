@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simvane.llm.components import connected_components
@@ -52,16 +52,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """(doc_id, fp): the signed fingerprint of every whole text."""
+def fingerprints(documents: DataFrame, p: Parameters = Parameters(), *more: str) -> DataFrame:
+    """(doc_id, fp) and columns of longs that ``more`` names: the signed fingerprint of every whole text."""
     share_path(documents.sparkSession)
+    names = ["doc_id", *more]
 
     def run(batches):
         for b in batches:
             found = np.fromiter((fingerprint(t.as_py(), p.shingle, p.seed) for t in b["text"]), np.int64, len(b))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(found)], [*names, "fp"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def syndromes(values: np.ndarray) -> np.ndarray:
@@ -203,6 +204,14 @@ def close_edges(distinct: DataFrame, p: Parameters) -> DataFrame:
     return grouped.mapInArrow(compare, "a long, b long")
 
 
+def _classes(own: DataFrame, least: Column, p: Parameters) -> DataFrame:
+    """(fp, least): for every fingerprint of ``own`` the least value of ``least`` in its component."""
+    nodes = cut(own.groupBy("fp").agg(F.min(least).alias("least")))
+    links = connected_components(close_edges(nodes, p))
+    joined = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return joined.join(joined.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", F.col("first").alias("least"))
+
+
 def simhash_groups(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """One row for each document: doc_id, fingerprint (16 hexadecimal digits) and component_id.
 
@@ -212,9 +221,19 @@ def simhash_groups(documents: DataFrame, p: Parameters = Parameters()) -> DataFr
     rows each return. Other columns are never read.
     """
     own = cut(fingerprints(documents, p))
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = connected_components(close_edges(nodes, p))
-    joined = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = joined.join(least, "root").select("fp", "component_id")
+    classes = _classes(own, F.col("doc_id"), p).withColumnRenamed("least", "component_id")
     return own.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
+    """The documents' rows and columns, one for each component: that of the smallest doc_id.
+
+    Null ids come last; of different texts under one id the one of the smaller hash stays, of repeated
+    rows any one.
+    """
+    marked = documents.withColumn("_twin", F.xxhash64("text"))
+    own = cut(fingerprints(marked, p, "_twin"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("_twin"))
+    chosen = _classes(own, place, p).select("least.*").distinct().select(F.col("doc_id").alias("_id"), F.col("_twin").alias("_own"))
+    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_own")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_twin"]).drop("_twin")
