@@ -1,11 +1,380 @@
-"""Registered queries of the vector engine, with the SQL that states their results."""
+"""Registered queries of the vector engine over whole tables, with the SQL that states their results.
+
+Searches take as queries the rows whose id is divisible by 100, against all rows. To tell metrics apart
+on vectors of length 1, row i is scaled by 1 + i mod 3. Fixed centroids are the labels' mean vectors.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from simvane.config import HnswConfig, IvfPqConfig
+from simvane.functions import metrics
+from simvane.functions.metrics import Metric
+from simvane.operators import cluster, hnsw, ivf, kmeans, knn, pq, recall, topk
+from simvane.sources import datagen, vector_file
+from simvane.session import checkpoint_dir, table
+
+K, SHARDS, DIM, M = 10, 4, 64, 8
+_Query = Callable[[SparkSession, str], DataFrame]
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, embedding, label)."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).withColumn("embedding", F.transform(metrics.doubles(F.col("embedding")), lambda x: x * (1 + F.col("id") % 3)))
+
+
+def asked(df: DataFrame) -> DataFrame:
+    """The query set of a vector table."""
+    return df.where(F.col("id") % 100 == 0).withColumnRenamed("id", "query_id")
+
+
+def sharded(df: DataFrame) -> DataFrame:
+    return df.withColumn("shard_id", (F.col("id") % SHARDS).cast("int"))
+
+
+def label_means(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """Mean vectors in the order of labels, of which there are few."""
+    means = vectors(spark, sf_dir).groupBy("label").agg(*[F.avg(F.col("embedding")[i].cast("double")).alias(f"c{i}") for i in range(DIM)])
+    return np.array([list(r)[1:] for r in means.orderBy("label").collect()])
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names or ("score",)})
+
+
+def _neighbours(df: DataFrame) -> DataFrame:
+    """Each row beside the row of the next id."""
+    right = df.select((F.col("id") - 1).alias("id"), F.col("id").alias("other_id"), F.col("embedding").alias("right"))
+    return df.select("id", F.col("embedding").alias("left")).join(right, "id")
+
+
+def _scored(expression: Callable) -> _Query:
+    def query(spark, sf_dir):
+        pairs = _neighbours(scaled(spark, sf_dir))
+        return rounded(pairs.select("id", "other_id", expression(F.col("left"), F.col("right")).alias("score")))
+
+    return query
+
+
+def _knn(metric: Metric, strategy: str = "sharded") -> _Query:
+    def query(spark, sf_dir):
+        v = scaled(spark, sf_dir)
+        return rounded(knn.knn(v, asked(v), K, metric, strategy))
+
+    return query
+
+
+def knn_single(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(knn.search(v, label_means(spark, sf_dir).mean(0).tolist(), K, "l2"))
+
+
+def knn_local_topk(spark, sf_dir):
+    v = scaled(spark, sf_dir)
+    return rounded(knn.local_top_k(sharded(v), asked(v), K, "l2"))
+
+
+def knn_merge(spark, sf_dir):
+    v = scaled(spark, sf_dir)
+    lists = [knn.knn(sharded(v).where(F.col("shard_id") == s), asked(v), K, "l2") for s in range(SHARDS)]
+    return rounded(topk.merge_local_results(lists, K, "l2").select("query_id", "rank", "id", "score"))
+
+
+def knn_filtered(spark, sf_dir):
+    """Neighbours of the query's own label."""
+    v = scaled(spark, sf_dir)
+    found = knn.local_top_k(v.withColumn("shard_id", F.col("label").cast("int")), asked(v), K, "l2")
+    own = asked(v).select("query_id", F.col("label").cast("int").alias("shard_id"))
+    return rounded(found.join(own, ["query_id", "shard_id"]).select("query_id", "rank", "id", "score"))
+
+
+def norms(spark, sf_dir):
+    return rounded(scaled(spark, sf_dir).select("id", metrics.squared_norm(F.col("embedding")).alias("norm2")), "norm2")
+
+
+def kmeans_assign(spark, sf_dir):
+    return rounded(kmeans.assign(vectors(spark, sf_dir), label_means(spark, sf_dir), "l2"))
+
+
+def _exploded(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
+    rows = [(c, i, float(x)) for c, row in enumerate(centroids) for i, x in enumerate(row)]
+    return rounded(spark.createDataFrame(rows, "cluster_id int, pos int, value double"), "value")
+
+
+def kmeans_step(spark, sf_dir):
+    c = label_means(spark, sf_dir)
+    return _exploded(spark, kmeans.step(vectors(spark, sf_dir), c[None], "l2").moved(c[None])[0])
+
+
+def kmeans_sizes(spark, sf_dir):
+    c = label_means(spark, sf_dir)
+    s = kmeans.step(vectors(spark, sf_dir), c[None], "l2")
+    return rounded(spark.createDataFrame([(int(s.counts.sum()), float(s.inertia[0]), s.shift(c[None]))], "n long, inertia double, shift double"), "inertia", "shift")
+
+
+def kmeans_fit(spark, sf_dir):
+    return _exploded(spark, kmeans.fit(vectors(spark, sf_dir), 10, 3, 0.0, "l2", label_means(spark, sf_dir)).centroids)
+
+
+def kmeans_plus_plus(spark, sf_dir):
+    return _exploded(spark, kmeans.plus_plus_rows(vectors(spark, sf_dir), 5, 42))
+
+
+def residual(spark, sf_dir):
+    own = ivf.residuals(vectors(spark, sf_dir), label_means(spark, sf_dir))
+    return rounded(own.select("id", "cluster_id", F.posexplode("embedding").alias("pos", "value")), "value")
+
+
+def ivf_probe(spark, sf_dir):
+    return rounded(kmeans.top_centroids(asked(vectors(spark, sf_dir)), label_means(spark, sf_dir), 3, "l2"))
+
+
+def _slices(c: np.ndarray) -> pq.ProductQuantizer:
+    return pq.ProductQuantizer(c.reshape(len(c), M, -1).transpose(1, 0, 2))
+
+
+def _half_steps(c: np.ndarray) -> np.ndarray:
+    """Half the way from each label's mean to the next one's: entries for residuals."""
+    return (np.roll(c, -1, 0) - c) / 2
+
+
+def ivf_postings(spark, sf_dir):
+    c = label_means(spark, sf_dir)
+    own = ivf.postings(vectors(spark, sf_dir), c, _slices(_half_steps(c)))
+    return own.select("cluster_id", "id", F.posexplode("code").alias("m", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+def pq_encode(spark, sf_dir):
+    codes = pq.encode(vectors(spark, sf_dir), _slices(label_means(spark, sf_dir)))
+    return codes.select("id", F.posexplode("code").alias("m", "code")).withColumn("code", F.col("code").cast("int"))
+
+
+def pq_decode(spark, sf_dir):
+    q = _slices(label_means(spark, sf_dir))
+    return rounded(pq.decode(pq.encode(vectors(spark, sf_dir), q), q).select("id", F.posexplode("embedding").alias("pos", "value")), "value")
+
+
+def pq_lut(spark, sf_dir):
+    return rounded(pq.lookup_tables(asked(vectors(spark, sf_dir)), _slices(label_means(spark, sf_dir)), "l2"))
+
+
+def _index(spark, sf_dir, centroids: np.ndarray, quantizer: pq.ProductQuantizer, metric: Metric = Metric.L2) -> ivf.IvfPqIndex:
+    config = IvfPqConfig(len(centroids), min(3, len(centroids)), M, quantizer.ksub)
+    return ivf.IvfPqIndex(config, metric, centroids, quantizer, ivf.postings(vectors(spark, sf_dir), centroids, quantizer, metric))
+
+
+def pq_adc_search(spark, sf_dir):
+    """One list around the origin: table lookups alone."""
+    index = _index(spark, sf_dir, np.zeros((1, DIM)), _slices(label_means(spark, sf_dir)))
+    return rounded(index.search(asked(vectors(spark, sf_dir)), K))
+
+
+def ivfpq_search(spark, sf_dir):
+    c = label_means(spark, sf_dir)
+    return rounded(_index(spark, sf_dir, c, _slices(_half_steps(c))).search(asked(vectors(spark, sf_dir)), K))
+
+
+def ivfpq_build_search(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return rounded(ivf.build(v, IvfPqConfig(16, 4, M, 32, 5)).search(asked(v), K, rerank=v))
+
+
+def ivfpq_recall(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = asked(v)
+    found = ivf.build(v, IvfPqConfig(16, 8, M, 32, 5)).search(q, K, rerank=v)
+    return rounded(recall.prefix_recall(found, knn.knn(v, q, K), q), "recall")
+
+
+def _graphs(spark, sf_dir) -> tuple[hnsw.HnswIndex, DataFrame, int]:
+    v = vectors(spark, sf_dir)
+    return hnsw.build(hnsw.shard(v), "l2", HnswConfig(8, ef_construction=60)), asked(v), v.count()
+
+
+def hnsw_search(spark, sf_dir):
+    """With a beam as wide as the table, a connected graph's search is exact."""
+    index, queries, n = _graphs(spark, sf_dir)
+    return rounded(index.search(queries, K, n))
+
+
+def hnsw_recall(spark, sf_dir):
+    index, queries, _ = _graphs(spark, sf_dir)
+    return rounded(recall.recall(index.search(queries, K, 60), knn.knn(vectors(spark, sf_dir), queries, K), queries), "recall")
+
+
+def _cluster(spark, sf_dir, kind: str, config=None, parameter: int = 0) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    local = sharded(v).withColumn("id", F.floor(F.col("id") / SHARDS).cast("long"))
+    return rounded(cluster.ShardedIndex.build(local, kind, "l2", config).search(asked(v), K, parameter).rows)
+
+
+def cluster_search(spark, sf_dir):
+    return _cluster(spark, sf_dir, "flat")
+
+
+def cluster_search_hnsw(spark, sf_dir):
+    return _cluster(spark, sf_dir, "hnsw", HnswConfig(8, ef_construction=60), 1 << 20)
+
+
+def shard_stats(spark, sf_dir):
+    return cluster.shard_stats(sharded(vectors(spark, sf_dir)))
+
+
+def vector_file_roundtrip(spark, sf_dir):
+    """All vectors written as binary files into the shared folder and read again."""
+    folder = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    v = vectors(spark, sf_dir)
+    vector_file.write_vectors(v, folder.removeprefix("file:").replace("///", "/") if folder.startswith("file:") else folder)
+    return rounded(vector_file.read_vectors(spark, folder).select("id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double")), "value")
+
+
+def generated_neighbours(spark, sf_dir):
+    v = datagen.generate(spark, 2_000, 32)
+    return rounded(knn.knn(v, asked(v), K))
+
+
+def queries() -> dict[str, _Query]:
+    found: dict[str, _Query] = {f"score_{m.label}": _scored(lambda a, b, m=m: metrics.score_expr(m, a, b)) for m in Metric}
+    found |= {f"minkowski_p{p}": _scored(lambda a, b, p=p: metrics.minkowski_expr(a, b, p)) for p in (1, 2, 4)}
+    found["mahalanobis_diag"] = _scored(lambda a, b: metrics.mahalanobis_expr(a, b, [1 / (1 + i) for i in range(DIM)]))
+    found["mahalanobis_full"] = _scored(lambda a, b: metrics.mahalanobis_expr(F.slice(a, 1, 4), F.slice(b, 1, 4), [x for i in range(4) for x in [0.25] * i + [2.0] + [0.25] * (3 - i)]))
+    found |= {f"knn_{m.label}": _knn(m) for m in Metric}
+    found["knn_replicated"] = _knn(Metric.L2, "replicated")
+    own = (
+        knn_single, knn_local_topk, knn_merge, knn_filtered, norms, residual, kmeans_assign, kmeans_step, kmeans_sizes, kmeans_fit, kmeans_plus_plus, ivf_probe, ivf_postings,
+        pq_encode, pq_decode, pq_lut, pq_adc_search, ivfpq_search, ivfpq_build_search, ivfpq_recall, hnsw_search, hnsw_recall, cluster_search, cluster_search_hnsw, shard_stats,
+        vector_file_roundtrip, generated_neighbours,
+    )
+    return found | {f.__name__: f for f in own}
+
+
+# The oracles: plain formulas over lists of doubles.
+
+
+def _fold(expression: str, a: str, b: str, how: str = "list_sum") -> str:
+    body = expression.replace("X", f"{a}[i]").replace("Y", f"{b}[i]")
+    return f"coalesce({how}(list_transform(range(1, len({a}) + 1), lambda i: {body})), 0.0)"
+
+
+def _metric_sql(m: Metric, a: str, b: str) -> str:
+    square = _fold("(X - Y) * (X - Y)", a, b)
+    larger = _fold("greatest(abs(X), abs(Y))", a, b)
+    norms_ = f"(sqrt({_fold('X * X', a, b)}) * sqrt({_fold('Y * Y', a, b)}))"
+    return {
+        Metric.L2: square,
+        Metric.DOT: _fold("X * Y", a, b),
+        Metric.COSINE: f"CASE WHEN {norms_} <= 1e-9 THEN 0.0 ELSE {_fold('X * Y', a, b)} / {norms_} END",
+        Metric.MANHATTAN: _fold("abs(X - Y)", a, b),
+        Metric.MINKOWSKI: f"cbrt({_fold('abs(X - Y) * abs(X - Y) * abs(X - Y)', a, b)})",
+        Metric.CHEBYSHEV: _fold("abs(X - Y)", a, b, "list_max"),
+        Metric.HAMMING: _fold("CASE WHEN abs(X - Y) > 1e-6 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", a, b),
+        Metric.MAHALANOBIS: f"sqrt({square})",
+        Metric.JACCARD: f"CASE WHEN {larger} <= 1e-9 THEN 0.0 ELSE 1 - {_fold('least(abs(X), abs(Y))', a, b)} / {larger} END",
+        Metric.HELLINGER: f"sqrt(0.5 * {_fold('pow(sqrt(abs(X)) - sqrt(abs(Y)), 2)', a, b)})",
+    }[m]
+
+
+_V = "v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS e FROM embeddings)"
+_S = f"{_V}, s AS (SELECT id, label, list_transform(e, lambda x: x * (1 + id % 3)) AS e FROM v)"
+_C = f"""{_V}, c AS (SELECT (row_number() OVER (ORDER BY label) - 1)::INTEGER AS cluster_id, c FROM (
+  SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(e[i]) AS m FROM v, range(1, {DIM} + 1) r(i) GROUP BY label, i) GROUP BY label))"""
+
+
+def _pairs_sql(expression: str) -> str:
+    return f"WITH {_S} SELECT a.id, b.id AS other_id, round({expression}, 6) AS score FROM s a JOIN s b ON b.id = a.id + 1"
+
+
+def _ranked(source: str, expression: str, metric: Metric = Metric.L2, by: str = "query_id", ties: str = "id") -> str:
+    """Ranks ``source`` (query_id, q, id, e, ...) by an expression."""
+    way = "DESC" if metric.higher_is_better else "ASC"
+    return f"SELECT *, (row_number() OVER (PARTITION BY {by} ORDER BY score {way}, {ties}))::INTEGER AS rank FROM (SELECT *, {expression} AS score FROM ({source}))"
+
+
+def _knn_sql(m: Metric) -> str:
+    source = "SELECT a.id AS query_id, a.e AS q, b.id, b.e FROM s a, s b WHERE a.id % 100 = 0"
+    return f"WITH {_S} SELECT query_id, rank, id, round(score, 6) AS score FROM ({_ranked(source, _metric_sql(m, 'q', 'e'), m)}) WHERE rank <= {K}"
+
+
+def _assigned(name: str, centroids: str) -> str:
+    source = f"SELECT v.id AS query_id, v.e AS q, k.cluster_id AS id, k.c AS e FROM v, {centroids} k"
+    return f"{name} AS (SELECT query_id AS id, q AS e, e AS c, id AS cluster_id, score FROM ({_ranked(source, _metric_sql(Metric.L2, 'q', 'e'))}) WHERE rank = 1)"
+
+
+def _moved(name: str, assigned: str, before: str) -> str:
+    return f"""{name} AS (SELECT k.cluster_id, coalesce(n.c, k.c) AS c FROM {before} k LEFT JOIN (
+  SELECT cluster_id, list(m ORDER BY i) AS c FROM (SELECT cluster_id, i, avg(e[i]) AS m FROM {assigned}, range(1, {DIM} + 1) r(i) GROUP BY cluster_id, i) GROUP BY cluster_id) n ON n.cluster_id = k.cluster_id)"""
+
+
+_EXPLODED = "SELECT cluster_id, (i - 1)::INTEGER AS pos, round(c[i], 6) AS value FROM {}, range(1, 65) r(i)"
+_SUB = DIM // M
+
+
+def _encoded(source: str, entries: str) -> str:
+    """(id, m, code, cluster_id, entry) of a source (id, cluster_id, e) by entries (code, c)."""
+    part = f"list_sum(list_transform(range(1, {_SUB + 1}), lambda i: pow(s.e[m * {_SUB} + i] - k.c[m * {_SUB} + i], 2)))"
+    return f"""SELECT id, cluster_id, m, code, entry FROM (SELECT s.id, s.cluster_id, m, k.code, k.c AS entry, row_number() OVER (PARTITION BY s.id, m ORDER BY {part}, k.code) AS n
+  FROM {source} s, {entries} k, range(0, {M}) r(m)) WHERE n = 1"""
+
+
+_ENTRIES = "k AS (SELECT cluster_id AS code, c FROM c)"
+_HALVES = f"k AS (SELECT a.cluster_id AS code, list_transform(range(1, {DIM} + 1), lambda i: (b.c[i] - a.c[i]) / 2) AS c FROM c a JOIN c b ON b.cluster_id = (a.cluster_id + 1) % (SELECT count(*) FROM c))"
+_RESIDUALS = f"res AS (SELECT id, cluster_id, list_transform(range(1, {DIM} + 1), lambda i: e[i] - c[i]) AS e FROM a)"
+
 
-def queries() -> dict:
-    return {}
+def _adc(codes: str, probes: str) -> str:
+    """Table lookups: probes (query_id, cluster_id, q) are the queries' residuals at their clusters."""
+    part = f"list_sum(list_transform(range(1, {_SUB + 1}), lambda i: pow(p.q[m * {_SUB} + i] - x.entry[m * {_SUB} + i], 2)))"
+    scores = f"SELECT p.query_id, x.id, sum({part}) AS score FROM {probes} p JOIN {codes} x ON x.cluster_id = p.cluster_id GROUP BY p.query_id, x.id"
+    # sums are rounded before ranks, since equal codes must tie whatever the order of addition
+    return f"SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12), id))::INTEGER AS rank, id, round(score, 6) AS score FROM ({scores}) QUALIFY rank <= {K}"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {f"score_{m.label}": _pairs_sql(_metric_sql(m, "a.e", "b.e")) for m in Metric}
+    out |= {f"minkowski_p{p}": _pairs_sql(f"pow({_fold(f'pow(abs(X - Y), {p})', 'a.e', 'b.e')}, 1.0 / {p})") for p in (1, 2, 4)}
+    out["mahalanobis_diag"] = _pairs_sql(f"sqrt({_fold('(X - Y) * (X - Y) / i', 'a.e', 'b.e')})")
+    terms = " + ".join(f"{2.0 if i == j else 0.25} * (a.e[{i}] - b.e[{i}]) * (a.e[{j}] - b.e[{j}])" for i in range(1, 5) for j in range(1, 5))
+    out["mahalanobis_full"] = _pairs_sql(f"sqrt(greatest({terms}, 0))")
+    out |= {f"knn_{m.label}": _knn_sql(m) for m in Metric}
+    out["knn_replicated"] = out["knn_merge"] = out["knn_l2"]
+    out["knn_single"] = f"""WITH {_C}, m AS (SELECT list(x ORDER BY i) AS q FROM (SELECT i, avg(c[i]) AS x FROM c, range(1, {DIM} + 1) r(i) GROUP BY i))
+SELECT rank, id, round(score, 6) AS score FROM ({_ranked('SELECT 0 AS query_id, q, id, e FROM m, v', _metric_sql(Metric.L2, 'q', 'e'))}) WHERE rank <= {K}"""
+    both = "SELECT a.id AS query_id, a.e AS q, a.label AS own, b.id, b.e, b.label, (b.id % 4)::INTEGER AS shard_id FROM {0} a, {0} b WHERE a.id % 100 = 0"
+    out["knn_local_topk"] = f"WITH {_S} SELECT query_id, shard_id, rank, id, round(score, 6) AS score FROM ({_ranked(both.format('s'), _metric_sql(Metric.L2, 'q', 'e'), by='query_id, shard_id')}) WHERE rank <= {K}"
+    out["knn_filtered"] = f"WITH {_S} SELECT query_id, rank, id, round(score, 6) AS score FROM ({_ranked(both.format('s') + ' AND a.label = b.label', _metric_sql(Metric.L2, 'q', 'e'))}) WHERE rank <= {K}"
+    out["norms"] = f"WITH {_S} SELECT id, round({_fold('X * Y', 'e', 'e')}, 6) AS norm2 FROM s"
+    first = f"{_C}, {_assigned('a', 'c')}"
+    out["kmeans_assign"] = f"WITH {first} SELECT id, cluster_id, round(score, 6) AS score FROM a"
+    out["kmeans_step"] = f"WITH {first}, {_moved('c1', 'a', 'c')} {_EXPLODED.format('c1')}"
+    out["kmeans_sizes"] = f"""WITH {first}, {_moved('c1', 'a', 'c')} SELECT (SELECT count(*) FROM a) AS n, (SELECT round(sum(score), 6) FROM a) AS inertia,
+  (SELECT round(max({_metric_sql(Metric.L2, 'c.c', 'c1.c')}), 6) FROM c JOIN c1 ON c.cluster_id = c1.cluster_id) AS shift"""
+    out["kmeans_fit"] = f"WITH {first}, {_moved('c1', 'a', 'c')}, {_assigned('a1', 'c1')}, {_moved('c2', 'a1', 'c1')}, {_assigned('a2', 'c2')}, {_moved('c3', 'a2', 'c2')} {_EXPLODED.format('c3')}"
+    out["residual"] = f"WITH {first} SELECT id, cluster_id, (i - 1)::INTEGER AS pos, round(e[i] - c[i], 6) AS value FROM a, range(1, {DIM} + 1) r(i)"
+    probe = f"{_ranked('SELECT v.id AS query_id, v.e AS q, c.cluster_id AS id, c.c AS e FROM v, c WHERE v.id % 100 = 0', _metric_sql(Metric.L2, 'q', 'e'))}"
+    out["ivf_probe"] = f"WITH {_C} SELECT query_id, rank, id AS cluster_id, round(score, 6) AS score FROM ({probe}) WHERE rank <= 3"
+    coded = f"{first}, {_HALVES}, {_RESIDUALS}, x AS ({_encoded('res', 'k')})"
+    out["ivf_postings"] = f"WITH {coded} SELECT cluster_id, id, m::INTEGER AS m, code FROM x"
+    whole = f"{_C}, {_ENTRIES}, w AS (SELECT id, 0 AS cluster_id, e FROM v), x AS ({_encoded('w', 'k')})"
+    out["pq_encode"] = f"WITH {whole} SELECT id, m::INTEGER AS m, code FROM x"
+    out["pq_decode"] = f"WITH {whole} SELECT id, (m * {_SUB} + i - 1)::INTEGER AS pos, round(entry[m * {_SUB} + i], 6) AS value FROM x, range(1, {_SUB + 1}) r(i)"
+    part = f"list_sum(list_transform(range(1, {_SUB + 1}), lambda i: pow(v.e[m * {_SUB} + i] - k.c[m * {_SUB} + i], 2)))"
+    out["pq_lut"] = f"WITH {_C}, {_ENTRIES} SELECT v.id AS query_id, m::INTEGER AS m, k.code AS k, round({part}, 6) AS score FROM v, k, range(0, {M}) r(m) WHERE v.id % 100 = 0"
+    out["pq_adc_search"] = f"WITH {whole}, p AS (SELECT id AS query_id, 0 AS cluster_id, e AS q FROM v WHERE id % 100 = 0) {_adc('x', 'p')}"
+    out["ivfpq_search"] = f"""WITH {coded}, p AS (SELECT query_id, id AS cluster_id, list_transform(range(1, {DIM} + 1), lambda i: q[i] - e[i]) AS q FROM ({probe}) WHERE rank <= 3) {_adc('x', 'p')}"""
+    out["hnsw_search"] = f"WITH {_V} SELECT query_id, rank, id, round(score, 6) AS score FROM ({_ranked(both.format('v'), _metric_sql(Metric.L2, 'q', 'e'))}) WHERE rank <= {K}"
+    local = "SELECT a.id AS query_id, a.e AS q, b.id // 4 AS id, b.e, (b.id % 4)::INTEGER AS shard_id FROM v a, v b WHERE a.id % 100 = 0"
+    out["cluster_search"] = f"WITH {_V} SELECT query_id, rank, shard_id, id, round(score, 6) AS score FROM ({_ranked(local, _metric_sql(Metric.L2, 'q', 'e'), ties='shard_id, id')}) WHERE rank <= {K}"
+    out["cluster_search_hnsw"] = out["cluster_search"]
+    out["shard_stats"] = "SELECT (vec_id % 4)::INTEGER AS shard_id, count(*) AS num_vectors, max(len(embedding))::INTEGER AS dimension, 'HNSW' AS index_type FROM embeddings GROUP BY 1"
+    out["vector_file_roundtrip"] = f"WITH {_V} SELECT id, (i - 1)::INTEGER AS pos, round(e[i], 6) AS value FROM v, range(1, {DIM} + 1) r(i)"
+    return out
