@@ -24,6 +24,8 @@ from simvane.session import cut, share_path
 
 #: Rows that one shard may hold; a larger one fails rather than exhaust a task.
 MOST_ROWS = 200_000
+#: Memory that a build may spend on distances it has met.
+ROW_BYTES = 256 << 20
 
 EDGES = "shard_id int, layer int, src long, neighbors array<long>"
 META = "shard_id int, m int, m0 int, ef_construction int, ef_search int, use_heuristic boolean, max_level int, entry_point long, num_nodes long"
@@ -39,18 +41,33 @@ class Graph:
     levels: list[int] = field(default_factory=list)
     links: list[dict[int, list[int]]] = field(default_factory=list)
     entry: int | None = None
+    rows: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def apart(self, x: np.ndarray, nodes: list[int]) -> np.ndarray:
-        """How far nodes lie from a vector: lower is nearer, whichever way the metric points."""
-        scores = score_matrix(self.metric, x[None], self.vectors[nodes])[0]
+    def apart(self, x: np.ndarray | int, nodes: list[int]) -> np.ndarray:
+        """How far nodes lie from a vector, or from a node: lower is nearer, whichever way the metric points."""
+        if isinstance(x, int):
+            return self._row(x)[nodes]
+        return self._far(x, self.vectors[nodes])
+
+    def _far(self, x: np.ndarray, others: np.ndarray) -> np.ndarray:
+        scores = score_matrix(self.metric, x[None], others)[0]
         if self.metric is Metric.DOT:
             return -scores
         return 1 - scores if self.metric is Metric.COSINE else scores
 
+    def _row(self, node: int) -> np.ndarray:
+        """A node's distances to the whole shard, kept while they fit in ROW_BYTES."""
+        found = self.rows.get(node)
+        if found is None:
+            if (len(self.rows) + 1) * 8 * len(self.vectors) > ROW_BYTES:
+                self.rows.clear()
+            found = self.rows[node] = self._far(self.vectors[node], self.vectors)
+        return found
+
     def neighbours(self, node: int, layer: int) -> list[int]:
         return self.links[layer].get(node, []) if layer < len(self.links) else []
 
-    def beam(self, x: np.ndarray, starts: list[int], width: int, layer: int) -> list[tuple[float, int]]:
+    def beam(self, x: np.ndarray | int, starts: list[int], width: int, layer: int) -> list[tuple[float, int]]:
         """The ``width`` nearest nodes met, nearest first: expand the nearest open node until it's beyond the worst kept."""
         seen = set(starts)
         first = list(zip(self.apart(x, starts).tolist(), starts, strict=True))
@@ -86,7 +103,7 @@ class Graph:
         for d, n in found:
             if len(chosen) == most:
                 break
-            if chosen and (self.apart(self.vectors[n], chosen) <= d).any():
+            if chosen and (self.apart(n, chosen) <= d).any():
                 passed.append(n)
             else:
                 chosen.append(n)
@@ -100,7 +117,7 @@ class Graph:
         own.append(b)
         most = self.config.max_edges(layer)
         if len(own) > most:
-            self.links[layer][a] = self.choose(list(zip(self.apart(self.vectors[a], own).tolist(), own, strict=True)), most)
+            self.links[layer][a] = self.choose(list(zip(self.apart(a, own).tolist(), own, strict=True)), most)
 
     def insert(self, node: int, level: int) -> None:
         self.levels.append(level)
@@ -111,7 +128,7 @@ class Graph:
         if self.entry is None:
             self.entry = node
             return
-        x, top = self.vectors[node], self.levels[self.entry]
+        x, top = node, self.levels[self.entry]
         starts = [self.entry]
         for layer in range(top, level, -1):
             starts = [self.beam(x, starts, 1, layer)[0][1]]
@@ -174,7 +191,7 @@ class HnswIndex:
         config, metric, width = self.config, self.metric, ef or self.config.ef_search
         sent = spark.sparkContext.broadcast([(r["query_id"], np.array(r["embedding"], np.float64)) for r in asked])
 
-        def run(key, nodes: pd.DataFrame, edges: pd.DataFrame, meta: pd.DataFrame | None = None) -> pd.DataFrame:
+        def run(key, nodes, edges):
             graph, ids = restored(nodes, edges, metric, config)
             rows = []
             for query, x in sent.value if k else ():
@@ -234,7 +251,7 @@ def build(vectors: DataFrame, metric: str | Metric = "l2", config: HnswConfig =
     if largest["twice"]:
         raise VectorIndexError("ids repeat within a shard")
 
-    def run(key, nodes: pd.DataFrame) -> pd.DataFrame:
+    def run(key, nodes):
         nodes = nodes.sort_values("id", kind="stable")
         ids = nodes["id"].to_numpy()
         graph = build_graph(np.array(nodes["embedding"].tolist()), m, config, int(key[0]))
