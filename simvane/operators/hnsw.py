@@ -43,7 +43,7 @@ class Graph:
     entry: int | None = None
     rows: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def apart(self, x: np.ndarray | int, nodes: list[int]) -> np.ndarray:
+    def apart(self, x: np.ndarray | int, nodes: list[int] | np.ndarray) -> np.ndarray:
         """How far nodes lie from a vector, or from a node: lower is nearer, whichever way the metric points."""
         if isinstance(x, int):
             return self._row(x)[nodes]
@@ -98,16 +98,18 @@ class Graph:
         found = sorted(found)
         if not self.config.heuristic or len(found) <= 1:
             return [n for _, n in found[:most]]
-        nodes = [n for _, n in found]
+        nodes = np.array([n for _, n in found])
+        to_chosen = np.full(len(nodes), np.inf)  # each node's distance to the nearest chosen one
         chosen, passed = [], []
-        for d, n in found:
+        for i, (d, n) in enumerate(found):
             if len(chosen) == most:
                 break
-            if chosen and (self.apart(n, chosen) <= d).any():
+            if to_chosen[i] <= d:
                 passed.append(n)
             else:
                 chosen.append(n)
-        return (chosen + [n for n in nodes if n in set(passed)])[:most]
+                to_chosen = np.minimum(to_chosen, self.apart(n, nodes))
+        return (chosen + passed)[:most]
 
     def connect(self, a: int, b: int, layer: int) -> None:
         """Adds b to a's list; an overfull list is chosen anew, which drops edges in this direction alone."""
