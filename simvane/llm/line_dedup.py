@@ -58,15 +58,16 @@ def line_dedup(documents: DataFrame) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in documents.columns if c not in ("n_lines", "n_removed")]
     base = documents.select(*kept)
-    covered = covered_lines(documents.select(_ID, _TEXT)).select(F.col(_ID).alias("_id"), F.col("twin").alias("_twin"), "covered")
-    joined = base.withColumn("_own", F.xxhash64(_TEXT)).join(covered, F.col(_ID).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_twin")), "left")
-    parts = joined.withColumn("_lines", F.when(F.col("covered").isNotNull(), F.split(_TEXT, "\n", -1)))
-    rest = F.expr(r"array_join(transform(array_except(sequence(0, size(_lines) - 1), covered), p -> _lines[p]), '\n')")
+    covered = covered_lines(documents.select(_ID, _TEXT)).select(F.col(_ID).alias("__sv_id"), F.col("twin").alias("__sv_twin"), F.col("covered").alias("__sv_covered"))
+    joined = base.withColumn("__sv_own", F.xxhash64(_TEXT)).join(covered, F.col(_ID).eqNullSafe(F.col("__sv_id")) & (F.col("__sv_own") == F.col("__sv_twin")), "left")
+    changed = F.col("__sv_covered").isNotNull()
+    parts = joined.withColumn("__sv_lines", F.when(changed, F.split(_TEXT, "\n", -1)))
+    rest = F.expr(r"array_join(transform(array_except(sequence(0, size(__sv_lines) - 1), __sv_covered), p -> __sv_lines[p]), '\n')")
     count = F.length(_TEXT) - F.length(F.replace(F.col(_TEXT), F.lit("\n"), F.lit(""))) + 1
     return parts.select(
-        *(F.coalesce(F.when(F.col("covered").isNotNull(), rest), F.col(_TEXT)).alias(_TEXT) if c == _TEXT else F.col(f"`{c}`") for c in base.columns),
+        *(F.when(changed, rest).otherwise(F.col(_TEXT)).alias(_TEXT) if c == _TEXT else F.col(f"`{c}`") for c in base.columns),
         F.coalesce(count, F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.when(F.col("covered").isNotNull(), F.size("covered")), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(changed, F.size("__sv_covered")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

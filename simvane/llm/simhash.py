@@ -231,9 +231,9 @@ def one_of_each_group(documents: DataFrame, p: Parameters = Parameters()) -> Dat
     Null ids come last; of different texts under one id the one of the smaller hash stays, of repeated
     rows any one.
     """
-    marked = documents.withColumn("_twin", F.xxhash64("text"))
-    own = cut(fingerprints(marked, p, "_twin"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("_twin"))
-    chosen = _classes(own, place, p).select("least.*").distinct().select(F.col("doc_id").alias("_id"), F.col("_twin").alias("_own"))
-    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_twin") == F.col("_own")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_twin"]).drop("_twin")
+    marked = documents.withColumn("__sv_twin", F.xxhash64("text"))
+    own = cut(fingerprints(marked, p, "__sv_twin"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("__sv_twin"))
+    chosen = _classes(own, place, p).select("least.*").distinct().select(F.col("doc_id").alias("__sv_id"), F.col("__sv_twin").alias("__sv_own"))
+    kept = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col("__sv_id")) & (F.col("__sv_twin") == F.col("__sv_own")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__sv_twin"]).drop("__sv_twin")
