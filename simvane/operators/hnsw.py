@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from simvane.config import HnswConfig
 from simvane.errors import InvalidArgument, VectorIndexError
 from simvane.functions.metrics import Metric, parse, score_matrix
+from simvane.operators.knn import query_blocks
 from simvane.operators.topk import top_k
 from simvane.operators.vectors import check_dimension, dimension
 from simvane.session import cut, share_path
@@ -188,15 +189,25 @@ class HnswIndex:
             raise InvalidArgument("k must not be negative")
         spark = self.vectors.sparkSession
         share_path(spark)
-        check_dimension(dimension(self.vectors), queries)
-        asked = queries.select("query_id", "embedding").collect()  # a query set; blocks of it bound the driver's part
-        config, metric, width = self.config, self.metric, ef or self.config.ef_search
-        sent = spark.sparkContext.broadcast([(r["query_id"], np.array(r["embedding"], np.float64)) for r in asked])
+        dim = dimension(self.vectors)
+        check_dimension(dim, queries)
+        parts = [self._scan(ids, block, k, ef or self.config.ef_search) for ids, block in query_blocks(queries, dim)]
+        found = parts[0] if parts else spark.createDataFrame([], "query_id long, shard_id int, id long, score double")
+        for p in parts[1:]:
+            found = found.unionByName(p)
+        if by_shard:
+            return top_k(found, k, self.metric, by=("query_id", "shard_id")).select("query_id", "shard_id", "rank", "id", "score")
+        return top_k(found, k, self.metric, ties=("id", "shard_id")).select("query_id", "rank", "id", "score")
+
+    def _scan(self, queries: np.ndarray, block: np.ndarray, k: int, width: int) -> DataFrame:
+        """Each shard's k best for every query of a block."""
+        config, metric = self.config, self.metric
+        sent = self.vectors.sparkSession.sparkContext.broadcast((queries, block))
 
         def run(key, nodes, edges):
             graph, ids = restored(nodes, edges, metric, config)
             rows = []
-            for query, x in sent.value if k else ():
+            for query, x in zip(sent.value[0].tolist(), sent.value[1], strict=True) if k else ():
                 for d, n in graph.search(x, k, width):
                     score = -d if metric is Metric.DOT else 1 - d if metric is Metric.COSINE else d
                     rows.append((query, int(key[0]), int(ids[n]), float(score)))
@@ -204,10 +215,7 @@ class HnswIndex:
 
         nodes = self.vectors.select("shard_id", "id", "embedding")
         links = self.edges.join(self.meta.select("shard_id", "entry_point"), "shard_id")
-        found = nodes.groupBy("shard_id").cogroup(links.groupBy("shard_id")).applyInPandas(run, "query_id long, shard_id int, id long, score double")
-        if by_shard:
-            return top_k(found, k, metric, by=("query_id", "shard_id")).select("query_id", "shard_id", "rank", "id", "score")
-        return top_k(found, k, metric, ties=("id", "shard_id")).select("query_id", "rank", "id", "score")
+        return nodes.groupBy("shard_id").cogroup(links.groupBy("shard_id")).applyInPandas(run, "query_id long, shard_id int, id long, score double")
 
     def save(self, path: str) -> None:
         for name, df in (("vectors", self.vectors), ("edges", self.edges), ("meta", self.meta)):
