@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simvane.errors import InvalidArgument
+from simvane.functions.metrics import Metric
 from simvane.operators.knn import knn
 from simvane.session import share_path
 
@@ -46,7 +47,7 @@ def sharded(vectors: DataFrame, shards: int, n: int) -> DataFrame:
     return vectors.select(F.floor(F.col("id") / size).cast("int").alias("shard_id"), "id", "embedding")
 
 
-def ground_truth(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+def ground_truth(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2") -> DataFrame:
     """(query_id, top_k array<struct<id, distance>>) in the order of ranks; ``write.json`` makes the file."""
     found = knn(vectors, queries, k, metric)
     ranked = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", F.col("score").alias("distance")))).alias("r"))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from helpers import ids, queries, vectors, wave
 
+from simvane import cli
 from simvane.config import HnswConfig, IvfPqConfig
 from simvane.errors import DimensionMismatch, FileSizeMismatch, InvalidHeader
 from simvane.functions.metrics import Metric
@@ -94,3 +95,13 @@ def test_query_stream(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert found[0] == ids(knn.knn(v, q, 2)) == [2, 3, 5, 4]
+
+
+def test_commands(spark, tmp_path):
+    data, asked = str(tmp_path / "data"), str(tmp_path / "asked")
+    cli.main(["generate", "--rows", "40", "--dimension", "4", "--shards", "2", "--out", data])
+    cli.main(["generate", "--rows", "3", "--dimension", "4", "--seed", "1", "--out", asked])
+    cli.main(["train-centroids", "--data", data, "--k", "3", "--iters", "4", "--out", str(tmp_path / "c.bin")])
+    assert index_files.decode_centroids(index_files.load(str(tmp_path / "c.bin"))).centroids.shape == (3, 4)
+    cli.main(["search", "--data", data, "--queries", asked, "--k", "5", "--out", str(tmp_path / "found")])
+    assert sorted((r["query_id"], len(r["top_k"])) for r in spark.read.json(str(tmp_path / "found")).collect()) == [(0, 5), (1, 5), (2, 5)]
