@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simvane.session import cut
+
 _WORDS = r"[^\x20\x09-\x0D]+"
 ADDED = ("epoch", "block")
 
@@ -114,27 +116,32 @@ def mix(documents: DataFrame, p: Parameters = Parameters(), tokens: str | None =
     of the documents named like the added ones are replaced. An empty table gives an empty mixture.
     """
     base = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in ADDED])
-    counted = base.withColumn("__sv_tokens", F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else count_words(F.col("text")))
-    totals = counted.groupBy("source").agg(F.sum("__sv_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(p.most_sources + 1).collect()
+    identity = [F.col("doc_id").cast("string"), *([F.md5(F.col("text").cast("binary"))] if "text" in base.columns else []), F.lit("")]
+    counted = base.withColumns({"__sv_tokens": F.coalesce(F.col(tokens).cast("long"), F.lit(0)) if tokens else count_words(F.col("text")), "__sv_key": F.coalesce(*identity)})
+    slim = cut(counted.select("source", "__sv_tokens", "__sv_key"))  # read twice, where texts would be counted anew
+    totals = slim.groupBy("source").agg(F.sum("__sv_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(p.most_sources + 1).collect()
     if len(totals) > p.most_sources:
         raise ValueError(f"more than {p.most_sources} sources")
     totals.sort(key=lambda r: (r["source"] is not None, r["source"]))
     table = [(r["source"], i, r["t"], s.passes, s.rest, s.width, max(1, -(-r["n"] // p.bucket))) for i, (r, s) in enumerate(zip(totals, shares([r["t"] for r in totals], p), strict=True))]
     plan = documents.sparkSession.createDataFrame(table, "__sv_source string, __sv_sid int, __sv_total long, __sv_passes int, __sv_rest long, __sv_width long, __sv_buckets long")
     last = F.col("__sv_passes") - F.when(F.col("__sv_rest") > 0, 0).otherwise(1)
-    identity = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary")), F.lit("")) if "text" in base.columns else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    # at most ``most_sources`` short rows are broadcast
-    planned = counted.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__sv_source"))).where(last >= 0)
-    used = planned.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    used = used.withColumn("__sv_h", F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("epoch").cast("string"), identity).cast("binary")))
-    used = used.withColumn("__sv_bucket", F.floor(F.conv(F.substring("__sv_h", 1, 8), 16, 10).cast("long") * F.col("__sv_buckets") / F.lit(2.0**32)).cast("long"))
+
+    def used(df: DataFrame) -> DataFrame:
+        """A row for each pass of a document, with its order and bucket in that pass."""
+        # at most ``most_sources`` short rows are broadcast
+        planned = df.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("__sv_source"))).where(last >= 0)
+        passed = planned.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
+        passed = passed.withColumn("__sv_h", F.md5(F.concat_ws(":", F.lit(str(p.seed)), F.col("epoch").cast("string"), "__sv_key").cast("binary")))
+        return passed.withColumn("__sv_bucket", F.floor(F.conv(F.substring("__sv_h", 1, 8), 16, 10).cast("long") * F.col("__sv_buckets") / F.lit(2.0**32)).cast("long"))
+
     key = ["__sv_sid", "epoch", "__sv_bucket"]
     # tokens before a document: those of the buckets before its own, and of those before it in there
-    sums = used.groupBy(*key).agg(F.sum("__sv_tokens").alias("__sv_sum"))
+    sums = used(slim).groupBy(*key).agg(F.sum("__sv_tokens").alias("__sv_sum"))
     before = F.sum("__sv_sum").over(Window.partitionBy("__sv_sid", "epoch").orderBy("__sv_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select(*key, F.coalesce(before, F.lit(0)).alias("__sv_start"))
     inside = F.sum("__sv_tokens").over(Window.partitionBy(*key).orderBy("__sv_h", "doc_id", "__sv_tokens").rowsBetween(Window.unboundedPreceding, -1))
-    placed = used.withColumn("__sv_inside", F.coalesce(inside, F.lit(0))).join(starts, key).withColumn("__sv_at", F.col("__sv_start") + F.col("__sv_inside"))
+    placed = used(counted).withColumn("__sv_inside", F.coalesce(inside, F.lit(0))).join(starts, key).withColumn("__sv_at", F.col("__sv_start") + F.col("__sv_inside"))
     kept = placed.where((F.col("epoch") < F.col("__sv_passes")) | (F.col("__sv_at") < F.col("__sv_rest")))
     block = F.floor((F.col("epoch") * F.col("__sv_total") + F.col("__sv_at")) / F.col("__sv_width")).cast("long")
     return kept.select(*[F.col(f"`{c}`") for c in base.columns], F.col("epoch").cast("int").alias("epoch"), block.alias("block"))
@@ -142,7 +149,7 @@ def mix(documents: DataFrame, p: Parameters = Parameters(), tokens: str | None =
 
 def schedule(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """The mixture without texts: doc_id, source, n_tokens, epoch, block and the place in the block, from 1."""
-    slim = documents.select("doc_id", "source", count_words(F.col("text")).alias("n_tokens"))
+    slim = cut(documents.select("doc_id", "source", count_words(F.col("text")).alias("n_tokens")))
     mixed = mix(slim, p, "n_tokens")
     order = F.md5(F.concat_ws(":", F.lit("place"), F.lit(str(p.seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     place = F.row_number().over(Window.partitionBy("block").orderBy(order, "epoch", "doc_id"))
