@@ -3,17 +3,20 @@
 Equal vectors become one node. Random hyperplanes deal the nodes into small leaves, several times over;
 the best partners inside the leaves begin each node's neighbour list. A round then lets every node
 introduce its neighbours, listed or listing it, to one another and keeps the best in each list, until
-few lists change. A list that is full of partners above the threshold is saturated: it is enlarged to
-its whole component over threshold edges, whose members are then compared block by block, which also
-completes the lists of the component's other nodes and counts all links without listing pairs. An
-audit compares a fixed query set with all vectors and starts over with more leaves and rounds while
-too few links are found.
+few lists change. Whatever is compared joins components: a spanning forest of a block's links goes out
+beside the lists, so that no list's length cuts a link off. A list that is full of partners above the
+threshold is saturated; while there are any, lists of the best partners outside the own component are
+searched in more leaves and rounds, until none of them reaches the threshold. A component's members are
+then compared block by block, which counts all links without listing pairs. An audit
+compares a fixed query set with all vectors and starts over with more leaves and rounds while too few
+links are found.
 """
 
 from __future__ import annotations
 
 import logging
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,14 +82,50 @@ def _best(rows: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int) -> t
     return a[ok], b[ok], s[ok]
 
 
-def _edges(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a, b, s = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], ["u", "v", "s"])
+EDGES = "u long, v long, s double, sure boolean"
+_Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, p: Parameters) -> DataFrame:
-    """(u, v, s): for each node its best partners in the leaves of trees ``first`` and on, at random parts of large leaves."""
-    bits = max(1, int(np.ceil(np.log2(max(2, count) / p.leaf)))) if count > p.leaf else 0
+def _edges(parts: list[_Part]) -> pa.RecordBatch:
+    a, b, s, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64()), pa.array(sure, pa.bool_())], ["u", "v", "s", "sure"])
+
+
+def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of a symmetric square of links, as index pairs."""
+    left, a, b = near.any(1), [], []
+    while left.any():
+        held = [int(left.argmax())]
+        left[held[0]] = False
+        while held:
+            i = held.pop()
+            new = np.flatnonzero(near[i] & left)
+            left[new] = False
+            a += [i] * len(new)
+            b += new.tolist()
+            held += new.tolist()
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _compared(ids: np.ndarray, roots: np.ndarray, x: np.ndarray, p: Parameters, worst: np.ndarray | None = None) -> list[_Part]:
+    """A block's best partners of other roots, where they gain on ``worst``, and a spanning forest (sure) of its links."""
+    scores = x @ x.T
+    scores[roots[:, None] == roots[None, :]] = -3
+    i, j = _spanning(scores >= p.threshold)
+    sure = ids[i], ids[j], scores[i, j], np.ones(len(i), bool)
+    if worst is not None:
+        scores[scores <= np.minimum(worst[:, None], 2)] = -3  # no gain for the row's list
+    a, b, s = _best(ids, ids, scores, p.neighbours)
+    return [(a, b, s, np.zeros(len(a), bool)), sure]
+
+
+def _bits(count: int, p: Parameters) -> int:
+    return max(1, int(np.ceil(np.log2(max(2, count) / p.leaf)))) if count > p.leaf else 0
+
+
+def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, trees: int, p: Parameters) -> DataFrame:
+    """(u, v, s, sure) of nodes (node, v, root): best partners in the leaves of trees ``first`` and on, at random parts of large leaves."""
+    bits = _bits(count, p)
 
     def deal(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
@@ -96,28 +135,24 @@ def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, p: Paramete
             for length in np.unique(lengths):
                 own = b.filter(pa.array(lengths == length))
                 x = _unit(own["v"], width)
-                for tree in range(first, first + p.trees):
+                for tree in range(first, first + trees):
                     if (key := (tree, int(length))) not in planes:
                         planes[key] = np.random.default_rng([p.seed, tree, int(length)]).normal(size=(int(length) // size, bits))
                     code = ((x @ planes[key]) > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                     leaf = pa.array(code.astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(np.full(len(x), length, np.int32)), leaf, own["node"], own["v"]], ["tree", "length", "leaf", "node", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(np.full(len(x), length, np.int32)), leaf, own["node"], own["v"], own["root"]], ["tree", "length", "leaf", "node", "v", "root"])
 
-    dealt = nodes.select("node", "v").mapInArrow(deal, "tree int, length int, leaf long, node long, v binary")
+    dealt = nodes.select("node", "v", "root").mapInArrow(deal, "tree int, length int, leaf long, node long, v binary, root long")
     leaf = ["tree", "length", "leaf"]
     large = dealt.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.block).withColumn("parts", F.ceil(F.col("n") / p.block).cast("int")).drop("n")
     part = F.pmod(F.xxhash64("node", "tree"), F.coalesce("parts", F.lit(1))).cast("int")
-    placed = dealt.join(large, leaf, "left").select(*leaf, part.alias("part"), "node", "v")
+    placed = dealt.join(large, leaf, "left").select(*leaf, part.alias("part"), "node", "v", "root")
 
     def compare(batches):
         parts, rows = [], 0
         for _, t in groups(batches, [*leaf, "part"], 2 * p.block):
-            ids = t["node"].to_numpy()
-            x = _unit(t["v"], width)
-            scores = x @ x.T
-            np.fill_diagonal(scores, -3)
-            parts.append(_best(ids, ids, scores, p.neighbours))
-            rows += len(parts[-1][0])
+            parts += _compared(t["node"].to_numpy(), t["root"].to_numpy(), _unit(t["v"], width), p)
+            rows += len(parts[-2][0]) + len(parts[-1][0])
             if rows > 100_000:
                 yield _edges(parts)
                 parts, rows = [], 0
@@ -125,31 +160,38 @@ def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, p: Paramete
             yield _edges(parts)
 
     keys = [*leaf, "part"]
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long, s double")
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, EDGES)
 
 
 def best_lists(edges: DataFrame, k: int) -> DataFrame:
-    """(u, v, s, worst): each node's k best distinct partners; worst is the last one's score in a full list, else -2."""
+    """(u, v, s, worst, listed, sure): each node's k best distinct partners are listed; worst is the last one's score in a full list, else -2.
+
+    Edges that are sure stay whether listed or not.
+    """
 
     def trim(batches):
-        out: list[tuple[int, int, float, float]] = []
-        node, mine = None, {}
+        out: list[tuple[int, int, float, float, bool, bool]] = []
+        node, mine, sure = None, {}, {}
+        types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()
 
         def close():
             worst = min(mine.values()) if len(mine) == k else -2.0
-            out.extend((node, v, s, worst) for v, s in mine.items())
+            out.extend((node, v, s, worst, True, v in sure) for v, s in mine.items())
+            out.extend((node, v, s, worst, False, True) for v, s in sure.items() if v not in mine)
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["u", "v", "s", "worst"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["u", "v", "s", "worst", "listed", "sure"])
 
         for b in batches:
-            for u, v, s in zip(b["u"].to_pylist(), b["v"].to_pylist(), b["s"].to_pylist(), strict=True):
+            for u, v, s, kept in zip(*(b[c].to_pylist() for c in ("u", "v", "s", "sure")), strict=True):
                 if u != node:
                     if mine:
                         close()
-                    node, mine = u, {}
+                    node, mine, sure = u, {}, {}
                 if len(mine) < k and v not in mine:
                     mine[v] = s
+                if kept:
+                    sure[v] = s
             if len(out) > 50_000:
                 yield batch()
                 out.clear()
@@ -158,34 +200,54 @@ def best_lists(edges: DataFrame, k: int) -> DataFrame:
         if out:
             yield batch()
 
-    ordered = edges.select("u", "v", "s").repartition("u").sortWithinPartitions("u", F.desc("s"), "v")
-    return ordered.mapInArrow(trim, "u long, v long, s double, worst double")
+    ordered = edges.select("u", "v", "s", "sure").repartition("u").sortWithinPartitions("u", F.desc("s"), "v")
+    return ordered.mapInArrow(trim, "u long, v long, s double, worst double, listed boolean, sure boolean")
 
 
-def introduced(lists: DataFrame, nodes: DataFrame, width: str, p: Parameters) -> DataFrame:
-    """(u, v, s): pairs that a common neighbour introduces, where one side's list would gain."""
+def introduced(lists: DataFrame, also: DataFrame | None, nodes: DataFrame, width: str, p: Parameters) -> DataFrame:
+    """(u, v, s, sure): pairs of other roots that a common neighbour, in ``lists`` or in ``also``, introduces, where one side's list would gain.
+
+    A host's guests beyond a block are cut into blocks that meet two by two.
+    """
     worst = lists.groupBy("u").agg(F.max("worst").alias("worst")).withColumnRenamed("u", "node")
-    known = nodes.select("node", "v").join(worst, "node", "left").select("node", F.col("v").alias("vector"), F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    links = lists.select("u", "v").unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    sent = links.withColumnRenamed("v", "host").join(known, F.col("u") == F.col("node")).select("host", F.col("u").alias("guest"), "vector", "worst")
+    known = nodes.select("node", "v", "root").join(worst, "node", "left").select("node", F.col("v").alias("vector"), "root", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
+    listed = lists.select("u", "v") if also is None else lists.select("u", "v").unionByName(also.select("u", "v"))
+    links = listed.unionByName(listed.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().withColumnRenamed("v", "host")
+    large = links.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.block).select("host", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
+    sent = links.join(known, F.col("u") == F.col("node")).join(large, "host", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sent = sent.withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("host", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("u").alias("guest"), "vector", "root", "worst")
 
     def join(batches):
         parts, rows = [], 0
-        for _, t in groups(batches, ["host"], p.block):
-            ids, worst = t["guest"].to_numpy(), t["worst"].to_numpy()
-            x = _unit(t["vector"], width)
-            scores = x @ x.T
-            np.fill_diagonal(scores, -3)
-            scores[scores <= np.minimum(worst[:, None], 2)] = -3  # no gain for the row's list
-            parts.append(_best(ids, ids, scores, p.neighbours))
-            rows += len(parts[-1][0])
+        for _, t in groups(batches, ["host", "i", "j"]):
+            parts += _compared(t["guest"].to_numpy(), t["root"].to_numpy(), _unit(t["vector"], width), p, t["worst"].to_numpy())
+            rows += len(parts[-2][0]) + len(parts[-1][0])
             if rows > 100_000:
                 yield _edges(parts)
                 parts, rows = [], 0
         if parts:
             yield _edges(parts)
 
-    return sent.repartition("host").sortWithinPartitions("host").mapInArrow(join, "u long, v long, s double")
+    keys = ["host", "i", "j"]
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, EDGES)
+
+
+def descend(nodes: DataFrame, lists: DataFrame | None, also: DataFrame | None, width: str, total: int, first: int, trees: int, p: Parameters) -> tuple[DataFrame, DataFrame]:
+    """Lists of the best partners of other roots, after leaves and rounds, and a forest (a, b) of all links that were met."""
+    drop = lambda t: t.select("u", "v", "s", F.lit(False).alias("sure"))
+    edges = leaf_edges(nodes, width, total, first, trees, p)
+    kept = [cut(best_lists(edges if lists is None else edges.unionByName(drop(lists)), p.neighbours))]
+    state = lambda: kept[-1].where("listed").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    after = state()
+    for _ in range(p.rounds):
+        before, mine = after, kept[-1].where("listed")
+        kept.append(cut(best_lists(drop(mine).unionByName(introduced(mine, also, nodes, width, p)), p.neighbours)))
+        after = state()
+        if (after["s"] or 0) - (before["s"] or 0) <= p.settled * (before["n"] or 0) and after["n"] == before["n"]:
+            break
+    met = [t.where("sure").select(F.col("u").alias("a"), F.col("v").alias("b")) for t in kept]
+    return kept[-1].where("listed"), reduce(DataFrame.unionByName, met)
 
 
 def link_counts(nodes: DataFrame, roots: DataFrame, width: str, p: Parameters) -> DataFrame:
@@ -260,20 +322,27 @@ def embedding_groups(embeddings: DataFrame, p: Parameters = Parameters()) -> Dat
     rows = cut(prepared(embeddings, width))
     nodes = cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
-    lists, tree = None, 0
+    trees, tree = p.trees, 0
+    alone = nodes.select("node", "v", F.col("node").alias("root"))
+    lists, forests = None, []
+
+    def joined_up() -> tuple[DataFrame, DataFrame]:
+        roots = cut(connected_components(reduce(DataFrame.unionByName, forests)))
+        return roots, nodes.select("node", "v").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     for attempt in range(p.attempts):
-        edges = leaf_edges(nodes, width, total, tree, p)
-        tree += p.trees
-        lists = cut(best_lists(edges if lists is None else edges.unionByName(lists.drop("worst")), p.neighbours))
-        for _ in range(p.rounds):
-            before = lists.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
-            more = introduced(lists, nodes, width, p)
-            lists = cut(best_lists(lists.drop("worst").unionByName(more), p.neighbours))
-            after = lists.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
-            if (after["s"] or 0) - (before["s"] or 0) <= p.settled * (before["n"] or 0) and after["n"] == before["n"]:
+        lists, met = descend(alone, lists, None, width, total, tree, trees, p)
+        tree += trees
+        forests.append(met)
+        roots, own = joined_up()
+        # leaves that hold all nodes have compared all of them; else saturated lists may hide links to other components
+        while total > min(p.leaf, p.block) and not lists.where(F.col("worst") >= p.threshold).isEmpty():
+            _, met = descend(own, None, lists, width, total, tree, trees, p)
+            tree += trees
+            if met.isEmpty():
                 break
-        near = lists.where(F.col("s") >= p.threshold)
-        roots = cut(connected_components(near.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+            forests.append(met)
+            roots, own = joined_up()
         counts = cut(link_counts(nodes, roots, width, p))
         recall = audit(nodes, counts, width, p)
         _log.info("attempt %d found %.4f of the audited links", attempt + 1, recall)

@@ -189,3 +189,26 @@ def test_article_text(wrap):
 def test_smoothing_and_threshold():
     assert html_text.smoothed(np.full(9, 3.0), 1.5) == pytest.approx(np.full(9, 3.0))
     assert 2 < html_text.threshold(np.array([1.0, 2, 1.5, 90, 100])) < 90 and html_text.threshold(np.array([4.0])) == 4.0
+
+
+def groups_found(spark, x, p):
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    return {t["vec_id"]: (t["n_links"], t["component_id"]) for t in embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), p).collect()}
+
+
+def groups_wanted(x, threshold=0.9):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= threshold
+    root = components(range(len(x)), lambda a, b: near[a, b])
+    return {i: (int(near[i].sum()) - 1, root[i]) for i in range(len(x))}
+
+
+@pytest.mark.parametrize(("noise", "p"), [(0, embedding_dedup.Parameters()), (900, embedding_dedup.Parameters(leaf=64, block=64))])
+def test_links_between_groups_larger_than_a_list(spark, noise, p):
+    r = np.random.default_rng(3)
+    a, b = np.linalg.qr(r.normal(size=(64, 2)))[0].T
+    centres = np.vstack([np.repeat([a], 15, 0), np.repeat([0.93 * a + np.sqrt(1 - 0.93**2) * b], 15, 0)])
+    x = np.vstack([centres + r.normal(size=(30, 64)) * 0.002, r.normal(size=(noise, 64))])
+    want = groups_wanted(x)
+    assert want[0] == (29, 0) and want[29] == (29, 0)
+    assert groups_found(spark, x, p) == want
