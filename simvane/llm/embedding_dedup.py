@@ -7,9 +7,9 @@ few lists change. Whatever is compared joins components: a spanning forest of a
 beside the lists, so that no list's length cuts a link off. A list that is full of partners above the
 threshold is saturated; while there are any, lists of the best partners outside the own component are
 searched in more leaves and rounds, until none of them reaches the threshold. A component's members are
-then compared block by block, which counts all links without listing pairs. An audit
-compares a fixed query set with all vectors and starts over with more leaves and rounds while too few
-links are found.
+then compared block by block, which counts all links without listing pairs. An audit compares fixed
+query sets with all vectors and starts over with more leaves and rounds while too few nodes have all
+their links; after the last attempt all vectors are compared with all.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ _log = logging.getLogger(__name__)
 @dataclass(frozen=True)
 class Parameters:
     """``neighbours`` is a list's length; ``leaf`` the size that trees aim at and ``block`` the most rows
-    compared with each other at once; ``audited`` vectors check that ``recall`` of their links are found."""
+    compared with each other at once; ``trees`` is the least number of them. Of ``audited`` vectors inside the
+    largest component and outside it, ``recall`` of those with links must have all of them."""
 
     threshold: float = 0.9
     neighbours: int = 10
@@ -45,6 +46,7 @@ class Parameters:
     audited: int = 512
     recall: float = 0.98
     attempts: int = 3
+    exact: int = 8192
     seed: int = 5
 
 
@@ -123,6 +125,12 @@ def _bits(count: int, p: Parameters) -> int:
     return max(1, int(np.ceil(np.log2(max(2, count) / p.leaf)))) if count > p.leaf else 0
 
 
+def tree_count(count: int, p: Parameters) -> int:
+    """So many trees that a pair at the threshold shares a leaf in one of them with a chance of ``recall``."""
+    together = (1 - np.arccos(np.clip(p.threshold, -1, 1)) / np.pi) ** _bits(count, p)
+    return p.trees if together >= 1 else max(p.trees, int(np.ceil(np.log(1 - p.recall) / np.log(1 - together))))
+
+
 def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, trees: int, p: Parameters) -> DataFrame:
     """(u, v, s, sure) of nodes (node, v, root): best partners in the leaves of trees ``first`` and on, at random parts of large leaves."""
     bits = _bits(count, p)
@@ -250,6 +258,43 @@ def descend(nodes: DataFrame, lists: DataFrame | None, also: DataFrame | None, w
     return kept[-1].where("listed"), reduce(DataFrame.unionByName, met)
 
 
+def exact_forest(nodes: DataFrame, width: str, total: int, p: Parameters) -> DataFrame:
+    """A forest (a, b) of all links: parts of ``exact`` vectors go out one after another and meet every vector."""
+    found = []
+    parts = max(1, -(-total // p.exact))
+    for part in range(parts):
+        rows = [(r["node"], bytes(r["v"])) for r in nodes.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == part).select("node", "v").collect()]
+        by_length = {}
+        for length in {len(v) for _, v in rows}:
+            own = [(n, v) for n, v in rows if len(v) == length]
+            by_length[length] = np.array([n for n, _ in own]), pa.array([v for _, v in own], pa.binary())
+        sent = nodes.sparkSession.sparkContext.broadcast(by_length)
+
+        def meet(batches, sent=sent):
+            against = {length: (n, _unit(v, width), np.arange(len(n))) for length, (n, v) in sent.value.items()}
+            for b in batches:
+                lengths, pairs = np.array([len(x) for x in b["v"].to_pylist()]), ([], [])
+                for length, (others, y, label) in against.items():
+                    own = b.filter(pa.array(lengths == length))
+                    for lo in range(0, len(own), 256):
+                        some = own.slice(lo, 256)
+                        near = _unit(some["v"], width) @ y.T >= p.threshold
+                        ids = some["node"].to_numpy(zero_copy_only=False)
+                        for r in np.flatnonzero(near.any(1)):
+                            at = np.flatnonzero(near[r])
+                            apart, one = np.unique(label[at], return_index=True)  # one partner of each set that hasn't met yet
+                            pairs[0].append(np.full(len(one), ids[r]))
+                            pairs[1].append(others[at[one]])
+                            if len(apart) > 1:
+                                label[np.isin(label, apart)] = apart[0]
+                if pairs[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in pairs], ["a", "b"])
+
+        found.append(cut(nodes.select("node", "v").mapInArrow(meet, "a long, b long").where("a <> b")))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
 def link_counts(nodes: DataFrame, roots: DataFrame, width: str, p: Parameters) -> DataFrame:
     """(node, links): for nodes of a component how many other nodes' vectors, copies included, reach the threshold."""
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
@@ -282,12 +327,19 @@ def link_counts(nodes: DataFrame, roots: DataFrame, width: str, p: Parameters) -
     return grouped.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, width: str, p: Parameters) -> float:
-    """The share of a fixed query set's links, against all vectors, that ``found`` (node, links) has; 1 without links."""
-    asked = [(r["node"], bytes(r["v"])) for r in nodes.orderBy(F.xxhash64("v"), "node").limit(p.audited).select("node", "v").collect()]
+def audit(nodes: DataFrame, roots: DataFrame, found: DataFrame, width: str, p: Parameters) -> float:
+    """The share of audited nodes with links, against all vectors, that have all of them in ``found`` (node, links); 1 without links.
+
+    The largest component's nodes and all others are audited apart, each by a fixed query set, and the lesser share counts.
+    """
+    top = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "root").first()
+    inside = F.coalesce(F.col("root") == (-1 if top is None else top["root"]), F.lit(False))
+    known = nodes.join(roots, "node", "left").withColumn("largest", inside)
+    asked = [(r["node"], bytes(r["v"]), r["largest"]) for part in ("largest", "NOT largest") for r in known.where(part).orderBy(F.xxhash64("v"), "node").limit(p.audited).select("node", "v", "largest").collect()]
+    largest = [n for n, _, x in asked if x]
     by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for length in {len(v) for _, v in asked}:
-        own = [(n, v) for n, v in asked if len(v) == length]
+    for length in {len(v) for _, v, _ in asked}:
+        own = [(n, v) for n, v, _ in asked if len(v) == length]
         by_length[length] = np.array([n for n, _ in own]), _unit(pa.array([v for _, v in own], pa.binary()), width)
     queries = nodes.sparkSession.sparkContext.broadcast(by_length)
 
@@ -304,9 +356,10 @@ def audit(nodes: DataFrame, found: DataFrame, width: str, p: Parameters) -> floa
                         total[i] = total.get(i, 0) + int(k)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "true"])
 
-    truth = nodes.mapInArrow(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = truth.join(found, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("links", F.lit(0)))).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+    truth = nodes.mapInArrow(count, "node long, true long").groupBy("node").agg(F.sum("true").alias("true")).where(F.col("true") > 0)
+    rows = truth.join(found, "node", "left").select("node", (F.coalesce("links", F.lit(0)) >= F.col("true")).alias("whole")).collect()
+    shares = [np.mean(x) for side in (True, False) if (x := [r["whole"] for r in rows if (r["node"] in largest) == side])]
+    return float(min(shares, default=1.0))
 
 
 def embedding_groups(embeddings: DataFrame, p: Parameters = Parameters()) -> DataFrame:
@@ -322,7 +375,7 @@ def embedding_groups(embeddings: DataFrame, p: Parameters = Parameters()) -> Dat
     rows = cut(prepared(embeddings, width))
     nodes = cut(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     total = nodes.count()
-    trees, tree = p.trees, 0
+    trees, tree = tree_count(total, p), 0
     alone = nodes.select("node", "v", F.col("node").alias("root"))
     lists, forests = None, []
 
@@ -344,12 +397,15 @@ def embedding_groups(embeddings: DataFrame, p: Parameters = Parameters()) -> Dat
             forests.append(met)
             roots, own = joined_up()
         counts = cut(link_counts(nodes, roots, width, p))
-        recall = audit(nodes, counts, width, p)
-        _log.info("attempt %d found %.4f of the audited links", attempt + 1, recall)
+        recall = audit(nodes, roots, counts, width, p)
+        _log.info("attempt %d found all links of %.4f of the audited vectors", attempt + 1, recall)
         if recall >= p.recall:
             break
     else:
-        _log.warning("%.4f of the audited links were found, %.4f were asked for", recall, p.recall)
+        _log.warning("all links of %.4f of the audited vectors were found, %.4f were asked for: all vectors are compared", recall, p.recall)
+        forests = [exact_forest(nodes, width, total, p)]
+        roots, _ = joined_up()
+        counts = cut(link_counts(nodes, roots, width, p))
     joined = nodes.join(roots, "node", "left").join(counts, "node", "left").select("v", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     least = joined.groupBy("root").agg(F.min("least").alias("component"))
     classes = joined.join(least, "root").select("v", "n_links", "component")

@@ -212,3 +212,27 @@ def test_links_between_groups_larger_than_a_list(spark, noise, p):
     want = groups_wanted(x)
     assert want[0] == (29, 0) and want[29] == (29, 0)
     assert groups_found(spark, x, p) == want
+
+
+def hot_and_pairs():
+    """A third of the rows in one group, and pairs just above the threshold among others."""
+    r = np.random.default_rng(8)
+    pairs = r.normal(size=(60, 64))
+    pairs /= np.linalg.norm(pairs, axis=1, keepdims=True)
+    other = r.normal(size=pairs.shape)
+    other -= (other * pairs).sum(1, keepdims=True) * pairs
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    return np.vstack([r.normal(size=64) + r.normal(size=(150, 64)) * 0.1, pairs, 0.91 * pairs + np.sqrt(1 - 0.91**2) * other, r.normal(size=(180, 64))])
+
+
+def test_small_groups_beside_a_hot_one_are_audited(spark):
+    x = hot_and_pairs()
+    assert groups_found(spark, x, embedding_dedup.Parameters(leaf=4, block=16, trees=1, rounds=0, attempts=1)) == groups_wanted(x)
+
+
+def test_all_vectors_meet_in_parts(spark):
+    x = hot_and_pairs()
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, v binary").repartition(3)
+    forest = embedding_dedup.exact_forest(nodes, "<f8", len(x), embedding_dedup.Parameters(exact=100))
+    root = {r["node"]: r["root"] for r in cc.connected_components(forest).collect()}
+    assert {i: root.get(i, i) for i in range(len(x))} == {i: c for i, (_, c) in groups_wanted(x).items()}
