@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from simvane.config import IvfPqConfig
 from simvane.errors import DimensionMismatch, InvalidArgument
 from simvane.functions.metrics import Metric, parse, score_expr
-from simvane.operators import kmeans, pq
-from simvane.operators.knn import RESULT, query_blocks
+from simvane.operators import kmeans, pq, recall
+from simvane.operators.knn import RESULT, knn, query_blocks
 from simvane.operators.topk import RunningTopK, top_k
 from simvane.operators.vectors import check_dimension, dimension, listed, matrix
-from simvane.session import share_path
+from simvane.session import cut, share_path
 
 
 @dataclass(frozen=True)
@@ -50,11 +50,12 @@ class IvfPqIndex:
     def list_sizes(self) -> DataFrame:
         return self.postings.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
 
-    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, rerank: DataFrame | None = None, candidates: int | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, nprobe: int | None = None, rerank: DataFrame | None = None, candidates: int | None = None, least_recall: float | None = None) -> DataFrame:
         """(query_id, rank, id, score): the k best postings of each query's nprobe nearest lists, ties by id.
 
         nprobe None or 0 means the configuration's; more than nlist means all. With ``rerank`` (id,
-        embedding) the ``candidates`` best (10 k by default) are scored by the true metric instead.
+        embedding) the ``candidates`` best (10 k by default) are scored by the true metric instead. With
+        ``least_recall`` both are only where ``reaching`` starts from.
         """
         if k < 0:
             raise InvalidArgument("k must not be negative")
@@ -64,6 +65,10 @@ class IvfPqIndex:
         empty = spark.createDataFrame([], "query_id long, rank int, id long, score double")
         if k == 0:
             return empty
+        if least_recall is not None:
+            if rerank is None:
+                raise InvalidArgument("recall is measured against rerank's vectors")
+            nprobe, candidates = self.reaching(least_recall, queries, k, rerank, nprobe, candidates)
         probes = min(max(1, nprobe or self.config.nprobe), self.nlist)
         wide = max(k, candidates or 10 * k) if rerank is not None else k
         parts = [self._scan(ids, block, probes, wide) for ids, block in query_blocks(queries, self.dimension)]
@@ -78,6 +83,23 @@ class IvfPqIndex:
         exact = kept.join(rerank.select("id", "embedding"), "id").join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id")
         return top_k(exact.withColumn("score", score_expr(self.metric, F.col("_q"), F.col("embedding"))), k, self.metric).select("query_id", "rank", "id", "score")
 
+    def reaching(self, least_recall: float, queries: DataFrame, k: int, rerank: DataFrame, nprobe: int | None = None, candidates: int | None = None, sample: int = 200) -> tuple[int, int]:
+        """(nprobe, candidates), doubled until a sample of the queries has the recall against exact search.
+
+        A sample's mean must lie a standard error above it, unless the sample is all queries. All lists
+        with all rows as candidates are exact search, so the doubling ends.
+        """
+        some = cut(queries.select("query_id", "embedding").orderBy(F.xxhash64("query_id"), "query_id").limit(sample))
+        whole, total = queries.count() <= sample, rerank.count()
+        truth = cut(knn(rerank, some, k, self.metric))
+        probes, wide = min(max(1, nprobe or self.config.nprobe), self.nlist), max(k, candidates or 10 * k)
+        while probes < self.nlist or wide < total:
+            row = recall.recall(self.search(some, k, probes, rerank, wide), truth, some).agg(F.avg("recall").alias("r"), F.stddev_pop("recall").alias("d"), F.count(F.lit(1)).alias("n")).first()
+            if not row["n"] or row["r"] - (0 if whole else row["d"] / row["n"] ** 0.5) >= least_recall:
+                break
+            probes, wide = min(2 * probes, self.nlist), min(2 * wide, max(k, total))
+        return probes, wide
+
     def _scan(self, ids: np.ndarray, block: np.ndarray, probes: int, k: int) -> DataFrame:
         lists = kmeans.probe_lists(block, self.centroids, probes, self.metric)
         asking: dict[int, list[int]] = {}

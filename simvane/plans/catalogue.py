@@ -186,7 +186,7 @@ def ivfpq_search(spark, sf_dir):
 
 def ivfpq_build_search(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return rounded(ivf.build(v, IvfPqConfig(16, 4, M, 32, 5)).search(asked(v), K, rerank=v))
+    return rounded(ivf.build(v, IvfPqConfig(16, 4, M, 32, 5)).search(asked(v), K, rerank=v, least_recall=0.9))
 
 
 def ivfpq_recall(spark, sf_dir):

@@ -34,3 +34,14 @@ def test_query_matches_its_sql(spark, name):
     got = [tuple(r[c] for c in columns) for r in df.collect()]
     same = lambda rows: sorted(tuple(round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in rows)
     assert same(got) == same(want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_index_search_has_its_recall(spark):
+    data = "/root/testdata/sf0.1"
+    v = catalogue.vectors(spark, data)
+    q = catalogue.asked(v)
+    found = catalogue.recall.recall(catalogue.queries()["ivfpq_build_search"](spark, data), catalogue.knn.knn(v, q, catalogue.K), q).collect()
+    measured = sum(r["recall"] for r in found) / len(found)
+    print("recall", measured)
+    assert len(found) == 20 and measured >= 0.9
