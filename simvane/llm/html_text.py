@@ -5,8 +5,9 @@ lies in menus, footers, sidebars, notices, adverts, forms, scripts, styles or re
 element or by the words of its class, id and role, is left out. Each remaining line has the ratio of
 its characters to the tags met since the line before; characters of links count against it. Ratios
 are smoothed along the page and parted at a threshold into two clusters. A region is an article or
-main element, or without these a line's nearest container. Regions whose lines lie in the upper
-cluster are content, and a content region keeps all its lines, short ones too.
+main element, if these hold most of the text, or else a line's nearest container. Regions whose lines
+lie in the upper cluster are content, and so are the others unless links make up much of them: sections
+of short paragraphs and quotations have low ratios too. A content region keeps all its lines.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ MARKS = frozenset(
     "header masthead topbar footer sidebar aside widget widgets related recommended cookie cookies consent gdpr notice notification alert popup modal overlay "
     "newsletter subscribe subscription signup login search share sharing social comment comments disqus replies respond pagination pager skip toolbar contentinfo complementary".split()
 )
+#: The share of a low region's characters in links from which it is left out.
+LINKED = 1 / 3
 #: Words beside which a mark only tells of a wrapper's layout, as in with-sidebar.
 LAYOUT = frozenset("with has no without".split())
 _WORD = regex.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -158,8 +161,9 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
     page.close()
     page.end_line()
     lines = page.lines
-    if page.main_regions and any(x[3] in page.main_regions for x in lines):
-        lines = [x for x in lines if x[3] in page.main_regions]
+    main = [x for x in lines if x[3] in page.main_regions]
+    if main and 2 * sum(len(x[0]) for x in main) >= sum(len(x[0]) for x in lines):
+        lines = main
     if not lines:
         return ""
     length = np.array([len(x[0]) for x in lines], float)
@@ -170,7 +174,8 @@ def main_text(html: str | None, sigma: float = 1.5) -> str:
     weight = np.bincount(own, length)
     mean = np.bincount(own, level * length) / weight
     border = threshold(level) if len(kinds) > 1 else -1.0
-    chosen = (mean >= border) | (mean >= mean.max())
+    linked = np.bincount(own, np.array([x[1] for x in lines], float)) / weight
+    chosen = (mean >= border) | (mean >= mean.max()) | (linked < LINKED)
     return "\n".join(x[0] for x, k in zip(lines, own, strict=True) if chosen[k])
 
 

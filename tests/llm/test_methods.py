@@ -236,3 +236,19 @@ def test_all_vectors_meet_in_parts(spark):
     forest = embedding_dedup.exact_forest(nodes, "<f8", len(x), embedding_dedup.Parameters(exact=100))
     root = {r["node"]: r["root"] for r in cc.connected_components(forest).collect()}
     assert {i: root.get(i, i) for i in range(len(x))} == {i: c for i, (_, c) in groups_wanted(x).items()}
+
+
+@pytest.mark.parametrize("tags", [6, 20, 40])
+def test_article_text_of_low_regions_stays(tags):
+    head = "<i></i>" * tags
+    long = [(f"{c}word " * 83).strip() for c in "abcdef"]
+    short = [f"{c} " + "brief words " * 7 for c in "uvwxy"]
+    sections = f"<body>{head}<div><h1>First</h1>{''.join(f'<p>{t}</p>' for t in long)}</div><div><h2>Second</h2>{''.join(f'<p>{t}</p>' for t in short)}</div></body>"
+    assert html_text.main_text(sections).split("\n") == ["First", *long, "Second", *(t.strip() for t in short)]
+    quote = "a quotation of some sixty characters between two paragraphs"
+    quoted = f"<body>{head}<p>{long[0][:400]}</p><blockquote>{quote}</blockquote><p>{long[1][:400]}</p></body>"
+    assert quote in html_text.main_text(quoted)
+    links = "".join(f"<p><a href=x>Link number {i}</a></p>" for i in range(8))
+    assert "Link number" not in html_text.main_text(f"<body><div>{''.join(f'<p>{t}</p>' for t in long)}</div><div>{links}</div></body>")
+    beside = f"<body><div>{''.join(f'<p>{t}</p>' for t in long)}</div><article><p>A teaser.</p></article></body>"
+    assert long[0] in html_text.main_text(beside)
