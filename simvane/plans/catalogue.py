@@ -248,6 +248,8 @@ def queries() -> dict[str, _Query]:
     found |= {f"minkowski_p{p}": _scored(lambda a, b, p=p: metrics.minkowski_expr(a, b, p)) for p in (1, 2, 4)}
     found["mahalanobis_diag"] = _scored(lambda a, b: metrics.mahalanobis_expr(a, b, [1 / (1 + i) for i in range(DIM)]))
     found["mahalanobis_full"] = _scored(lambda a, b: metrics.mahalanobis_expr(F.slice(a, 1, 4), F.slice(b, 1, 4), [x for i in range(4) for x in [0.25] * i + [2.0] + [0.25] * (3 - i)]))
+    whole = [x for i in range(DIM) for x in [0.25] * i + [2.0] + [0.25] * (DIM - 1 - i)]
+    found["mahalanobis_whole"] = _scored(lambda a, b: metrics.mahalanobis_expr(a, b, whole))
     found |= {f"knn_{m.label}": _knn(m) for m in Metric}
     found["knn_replicated"] = _knn(Metric.L2, "replicated")
     own = (
@@ -345,6 +347,8 @@ def oracle_sql() -> dict[str, str]:
     out["mahalanobis_diag"] = _pairs_sql(f"sqrt({_fold('(X - Y) * (X - Y) / i', 'a.e', 'b.e')})")
     terms = " + ".join(f"{2.0 if i == j else 0.25} * (a.e[{i}] - b.e[{i}]) * (a.e[{j}] - b.e[{j}])" for i in range(1, 5) for j in range(1, 5))
     out["mahalanobis_full"] = _pairs_sql(f"sqrt(greatest({terms}, 0))")
+    row = f"list_sum(list_transform(range(1, {DIM} + 1), lambda j: (CASE WHEN i = j THEN 2.0::DOUBLE ELSE 0.25::DOUBLE END) * (a.e[j] - b.e[j])))"
+    out["mahalanobis_whole"] = _pairs_sql(f"sqrt(greatest(list_sum(list_transform(range(1, {DIM} + 1), lambda i: (a.e[i] - b.e[i]) * {row})), 0))")
     out |= {f"knn_{m.label}": _knn_sql(m) for m in Metric}
     out["knn_replicated"] = out["knn_merge"] = out["knn_l2"]
     out["knn_single"] = f"""WITH {_C}, m AS (SELECT list(x ORDER BY i) AS q FROM (SELECT i, avg(c[i]) AS x FROM c, range(1, {DIM} + 1) r(i) GROUP BY i))

@@ -45,3 +45,8 @@ def test_index_search_has_its_recall(spark):
     measured = sum(r["recall"] for r in found) / len(found)
     print("recall", measured)
     assert len(found) == 20 and measured >= 0.9
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_whole_vectors_under_a_full_precision_matrix(spark):
+    test_query_matches_its_sql(spark, "mahalanobis_whole")
