@@ -215,7 +215,7 @@ def hnsw_recall(spark, sf_dir):
 def _cluster(spark, sf_dir, kind: str, config=None, parameter: int = 0) -> DataFrame:
     v = vectors(spark, sf_dir)
     local = sharded(v).withColumn("id", F.floor(F.col("id") / SHARDS).cast("long"))
-    return rounded(cluster.ShardedIndex.build(local, kind, "l2", config).search(asked(v), K, parameter).rows)
+    return rounded(cluster.ShardedIndex.build(local, kind, "l2", config).search(asked(v), K, parameter).complete())
 
 
 def cluster_search(spark, sf_dir):

@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__
+from simvane.errors import Unavailable
 from simvane.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -47,6 +48,20 @@ def test_index_search_has_its_recall(spark):
     assert len(found) == 20 and measured >= 0.9
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_registered_cluster_search_needs_every_shard(spark, monkeypatch):
+    search = catalogue.cluster.Shard.search
+
+    def failing(self, *args, **kwargs):
+        if self.shard_id == 2:
+            raise RuntimeError("lost executor")
+        return search(self, *args, **kwargs)
+
+    monkeypatch.setattr(catalogue.cluster.Shard, "search", failing)
+    with pytest.raises(Unavailable, match="lost executor"):
+        catalogue.queries()["cluster_search"](spark, DATA)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_whole_vectors_under_a_full_precision_matrix(spark):
     test_query_matches_its_sql(spark, "mahalanobis_whole")
