@@ -21,22 +21,61 @@ def by_library(text):
     return LIBRARY.encode(text, add_special_tokens=False).ids
 
 
-def by_automaton(text):
-    return np.frombuffer(bpe.codec(VOCABULARY).encode(text), "<u4").tolist()
+CODEC = bpe.Codec(bpe.Tables(VOCABULARY))
+
+
+def by_automaton(*texts):
+    ids, counts = CODEC.encode(list(texts))
+    assert CODEC.decode(ids, counts).to_pylist() == [LIBRARY.decode(by_library(t), skip_special_tokens=False) for t in texts]
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+ANY_TEXT = st.one_of(st.text(max_size=40), st.text("ab", max_size=24), st.text("thein gao'ds!?.velmr", max_size=40), st.text("aé'sñ²1 ß\u0301", max_size=20), st.sampled_from(["a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "aaa" * 60, "ﬁ Σ İ \ufdd0\ue000", "<|endoftext|>" * 3 + "ΣΑΣ"]))
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.one_of(st.text(max_size=40), st.text("ab", max_size=24), st.text("thein gao'ds!?.", max_size=40), st.sampled_from(["a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|>", "aaa" * 60])))
-def test_automaton_encodes_as_the_library(text):
-    ids = by_automaton(text)
-    assert ids == by_library(text)
-    assert bpe.codec(VOCABULARY).decode(bpe.codec(VOCABULARY).encode(text)) == LIBRARY.decode(ids, skip_special_tokens=False)
+@given(st.lists(ANY_TEXT, min_size=1, max_size=4))
+def test_automaton_encodes_as_the_library(texts):
+    assert by_automaton(*texts) == [by_library(t) for t in texts]
+
+
+def test_words_beyond_the_memory(monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_WORDS", 40)
+    texts = [prose(i, 60) + " " + "thein" * 30 for i in range(12)]
+    assert [by_automaton(t)[0] for t in texts] == [by_library(t) for t in texts]
+    assert len(CODEC.known) <= 40
 
 
 def test_long_texts_are_cut_at_spaces(monkeypatch):
-    monkeypatch.setattr(bpe, "PIECE", 50)
+    long = [(prose(2, 300) + " ") * 1500, "xyz" * 20_000, ("the<|endoftext|> é" + prose(1, 100)) * 900]
+    assert len(long[0]) > 2 * bpe.BLOCK and by_automaton(*long) == [by_library(t) for t in long]
+    monkeypatch.setattr(bpe, "BLOCK", 50)
     text = prose(1, 400) + " <|endoftext|>" + "x" * 300
-    assert by_automaton(text) == by_library(text) and "".join(bpe.pieces(text)) == text
+    assert by_automaton(text, "", text) == [by_library(text), [], by_library(text)] and "".join(bpe.pieces(text)) == text
+
+
+def test_transitions_match_merging_by_hand():
+    """Arc b leaves state a exactly where merging the letters of a and b gives a, b again."""
+    merges = [(0, 1, 2), (2, 0, 3), (0, 0, 4), (1, 4, 5), (4, 0, 6), (2, 2, 7)]
+    automaton = bpe.Automaton(8, [0, 1], merges)
+    spelled = {0: [0], 1: [1]}
+    for u, v, w in merges:
+        spelled[w] = spelled[u] + spelled[v]
+
+    def merged(letters):
+        for u, v, w in merges:
+            out = []
+            for x in letters:
+                if out and out[-1] == u and x == v:
+                    out[-1] = w
+                else:
+                    out.append(x)
+            letters = out
+        return letters
+
+    own = [w for w in spelled if merged(spelled[w]) == [w]]
+    pairs = [(a, b) for a in own for b in own]
+    assert automaton.arcs(*(np.array(x) for x in zip(*pairs))).tolist() == [merged(spelled[a] + spelled[b]) == [a, b] for a, b in pairs]
 
 
 @settings(max_examples=60, deadline=None)
