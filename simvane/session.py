@@ -10,11 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session doesn't set its own; Spark's default is eight times as much.
+BATCH_BYTES = 8 << 20
+
+
 def share_path(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver imported it.
+    """Let Python workers import this package from where the driver imported it, and send them batches of bounded bytes.
 
-    On a cluster the package is installed on every node and this changes nothing.
+    On a cluster the package is installed on every node and the path changes nothing.
     """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
     if ROOT not in path.split(":"):
@@ -22,10 +29,13 @@ def share_path(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; one under /tmp only if the session names none."""
+    """The shared folder for checkpoints, which the session names; only a local session gets one under /tmp if it names none."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
 
