@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: What makes Python workers, which live on between stages, give freed memory back to the system.
+FRUGAL = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 #: Bytes of an Arrow batch sent to a Python worker, where the session doesn't set its own; Spark's default is eight times as much.
 BATCH_BYTES = 8 << 20
 
 
 def share_path(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver imported it, and send them batches of bounded bytes.
+    """Let Python workers import this package from where the driver imported it, send them batches of bounded bytes and have them free memory.
 
     On a cluster the package is installed on every node and the path changes nothing.
     """
@@ -24,6 +26,8 @@ def share_path(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     path = env.get("PYTHONPATH", "")
+    for name, value in FRUGAL.items():
+        env.setdefault(name, value)
     if ROOT not in path.split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{path}" if path else ROOT
 
