@@ -3,13 +3,18 @@
 Equal vectors become one node. Random hyperplanes deal the nodes into small leaves, several times over;
 the best partners inside the leaves begin each node's neighbour list. A round then lets every node
 introduce its neighbours, listed or listing it, to one another and keeps the best in each list, until
-few lists change. Whatever is compared joins components: a spanning forest of a block's links goes out
-beside the lists, so that no list's length cuts a link off. A list that is full of partners above the
-threshold is saturated; while there are any, lists of the best partners outside the own component are
-searched in more leaves and rounds, until none of them reaches the threshold. A component's members are
-then compared block by block, which counts all links without listing pairs. An audit compares fixed
-query sets with all vectors and starts over with more leaves and rounds while too few nodes have all
-their links; after the last attempt all vectors are compared with all.
+no list changes. Two links in a row span at most twice the threshold's angle, so partners farther away
+are never listed. A list that is full of partners above the threshold is saturated: its length doubles,
+and rounds go on, up to ``longest``.
+
+The threshold edges are kept and join components: those in the lists, and a spanning forest of the
+links of each block that was compared, so that no list's length cuts a link off. Nodes of lists still
+saturated at ``longest`` search one another for links between components, in leaves and rounds of their
+own, until there is none. A component's links are counted in blocks of near members,
+never listed; a bound by the blocks' centres and radii tells which pairs of blocks hold all links, none,
+or have to be compared. An audit compares fixed query sets with all vectors and starts over with more
+leaves and rounds while too few nodes have all their links; after the last attempt all vectors are
+compared with all.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +38,32 @@ _log = logging.getLogger(__name__)
 
 @dataclass(frozen=True)
 class Parameters:
-    """``neighbours`` is a list's length; ``leaf`` the size that trees aim at and ``block`` the most rows
-    compared with each other at once; ``trees`` is the least number of them. Of ``audited`` vectors inside the
+    """``neighbours`` is a list's length to begin with and ``longest`` the one up to which saturated lists grow;
+    ``leaf`` the size that trees aim at and ``block`` the most rows compared with each other at once, ``part``
+    those of a component's blocks; ``trees`` is the least number of them, and as many grow as let a pair at the
+    threshold share a leaf with a chance of ``shared``. Of ``audited`` vectors inside the
     largest component and outside it, ``recall`` of those with links must have all of them."""
 
     threshold: float = 0.9
     neighbours: int = 10
+    longest: int = 40
     trees: int = 6
-    leaf: int = 256
-    block: int = 512
-    rounds: int = 4
-    settled: float = 0.02
+    shared: float = 0.98
+    leaf: int = 512
+    block: int = 1024
+    part: int = 128
+    rounds: int = 8
     audited: int = 512
-    recall: float = 0.98
+    recall: float = 0.995
     attempts: int = 3
     exact: int = 8192
     seed: int = 5
 
+    @property
+    def reach(self) -> float:
+        """The cosine of twice the threshold's angle: the least that two neighbours of one node can have."""
+        return 2 * self.threshold**2 - 1 if self.threshold > 0 else -1.0
+
 
 def _unit(rows: pa.ChunkedArray | pa.Array, width: str) -> np.ndarray:
     """Vectors of one dimension from their bytes, in double precision, brought to length 1."""
@@ -63,34 +78,53 @@ def prepared(embeddings: DataFrame, width: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            out = []
-            for i, values in zip(b["vec_id"].to_pylist(), b["embedding"].to_pylist(), strict=True):
-                x = None if i is None or not values or None in values else np.array(values, kind) + 0.0  # -0.0 becomes 0.0
-                # a norm in double precision neither overflows nor vanishes for components of any float; doubles are checked
-                norm = 0.0 if x is None else float(np.linalg.norm(x.astype(np.float64)))
-                out.append(x.tobytes() if norm > 0 and np.isfinite(norm) else None)
-            yield pa.RecordBatch.from_arrays([b["vec_id"], pa.array(out, pa.binary())], ["vec_id", "v"])
+            vectors = b["embedding"]
+            values = vectors.flatten()  # without what null vectors hold
+            x = pc.fill_null(values, float("nan")).to_numpy(zero_copy_only=False).astype(kind) + 0.0  # -0.0 becomes 0.0
+            lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+            ends = np.cumsum(lengths, dtype=np.int64)
+            some = np.flatnonzero(lengths)
+            # a norm in double precision neither overflows nor vanishes for components of any float; doubles are checked
+            squares = np.zeros(len(b))
+            with np.errstate(over="ignore", invalid="ignore"):
+                squares[some] = np.add.reduceat(x.astype(np.float64) ** 2, (ends - lengths)[some]) if len(some) else 0
+            null = ~((squares > 0) & np.isfinite(squares)) | b["vec_id"].is_null().to_numpy(zero_copy_only=False)
+            raw = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(np.append(0, ends * kind.itemsize)), pa.py_buffer(x.tobytes())])
+            yield pa.RecordBatch.from_arrays([b["vec_id"], pc.if_else(pa.array(null), None, raw).cast(pa.binary())], ["vec_id", "v"])
 
     return embeddings.select("vec_id", "embedding").mapInArrow(run, "vec_id long, v binary")
 
 
-def _best(rows: np.ndarray, others: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best partners of each node in a square of scores, as flat (node, other, score)."""
-    k = min(k, scores.shape[1])
-    top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.broadcast_to(np.arange(k), (len(rows), k))
-    a, s = np.repeat(rows, k), np.take_along_axis(scores, top, 1).ravel()
-    b = others[top].ravel()
-    ok = (a != b) & (s > -2)
-    return a[ok], b[ok], s[ok]
+#: Rows of a node's list, k its length; edges that are ``sure`` belong to a forest of links instead.
+EDGES = "u long, v long, s double, k int, sure boolean"
+_TYPES = pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_()
+_Part = tuple[np.ndarray, ...]
 
 
-EDGES = "u long, v long, s double, sure boolean"
-_Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+def _listed(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: np.ndarray) -> _Part:
+    """Each node's k best distinct partners of those given, in order: (u, v, s, k, place in the list)."""
+    order = np.lexsort((-s, v, u))
+    u, v, s, k = u[order], v[order], s[order], k[order]
+    first = np.ones(len(u), bool)
+    first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v, s, k = u[first], v[first], s[first], k[first]
+    order = np.lexsort((v, -s, u))
+    u, v, s, k = u[order], v[order], s[order], k[order]
+    starts = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
+    sizes = np.diff(starts, append=len(u))
+    k = np.repeat(np.maximum.reduceat(k, starts), sizes) if len(starts) else k
+    place = np.arange(len(u)) - np.repeat(starts, sizes)
+    kept = place < k
+    return u[kept], v[kept], s[kept], k[kept], place[kept]
 
 
-def _edges(parts: list[_Part]) -> pa.RecordBatch:
-    a, b, s, sure = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64()), pa.array(sure, pa.bool_())], ["u", "v", "s", "sure"])
+def _sent(parts: list[list[_Part]]) -> pa.RecordBatch:
+    """The blocks' list edges, the best k of each node, and their forests."""
+    lists, forests = (tuple(np.concatenate(x) for x in zip(*p, strict=True)) for p in zip(*parts, strict=True))
+    lists = _listed(*lists)[:4]
+    n, m = len(lists[0]), len(forests[0])
+    columns = [*(np.concatenate(x) for x in zip(lists, (*forests, np.zeros(m, np.int32)), strict=True)), np.repeat([False, True], [n, m])]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True)], ["u", "v", "s", "k", "sure"])
 
 
 def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,16 +143,38 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _compared(ids: np.ndarray, roots: np.ndarray, x: np.ndarray, p: Parameters, worst: np.ndarray | None = None) -> list[_Part]:
-    """A block's best partners of other roots, where they gain on ``worst``, and a spanning forest (sure) of its links."""
+def _compared(ids: np.ndarray, roots: np.ndarray, x: np.ndarray, p: Parameters, k: np.ndarray, worst: np.ndarray) -> list[_Part]:
+    """A block's partners of other roots, where they are in reach and gain on ``worst``, and a spanning forest of its links."""
     scores = x @ x.T
     scores[roots[:, None] == roots[None, :]] = -3
-    i, j = _spanning(scores >= p.threshold)
-    sure = ids[i], ids[j], scores[i, j], np.ones(len(i), bool)
-    if worst is not None:
-        scores[scores <= np.minimum(worst[:, None], 2)] = -3  # no gain for the row's list
-    a, b, s = _best(ids, ids, scores, p.neighbours)
-    return [(a, b, s, np.zeros(len(a), bool)), sure]
+    a, b = np.nonzero(scores >= np.maximum(p.reach, worst)[:, None])
+    s = scores[a, b]
+    linked = np.flatnonzero((scores >= p.threshold).any(1))
+    i, j = _spanning(scores[np.ix_(linked, linked)] >= p.threshold)
+    i, j = linked[i], linked[j]
+    if len(a) > 4 * p.longest * len(ids):
+        a, b, s = (x[_top(a, s, p.longest)] for x in (a, b, s))
+    return [(ids[a], ids[b], s, k[a]), (ids[i], ids[j], scores[i, j])]
+
+
+def _top(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """The places of each row's k best scores; rows ascend."""
+    order = np.lexsort((-scores, rows))
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    return order[np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows))) < k]
+
+
+def _blockwise(batches, keys: list[str], most: int | None, compare):
+    """Sends what ``compare`` finds in each group of rows."""
+    parts, rows = [], 0
+    for _, t in groups(batches, keys, most):
+        parts.append(compare(t))
+        rows += len(parts[-1][0][0]) + len(parts[-1][1][0])
+        if rows > 200_000 or len(parts) > 5000:
+            yield _sent(parts)
+            parts, rows = [], 0
+    if parts:
+        yield _sent(parts)
 
 
 def _bits(count: int, p: Parameters) -> int:
@@ -126,18 +182,26 @@ def _bits(count: int, p: Parameters) -> int:
 
 
 def tree_count(count: int, p: Parameters) -> int:
-    """So many trees that a pair at the threshold shares a leaf in one of them with a chance of ``recall``."""
+    """So many trees that a pair at the threshold shares a leaf in one of them with a chance of ``shared``."""
     together = (1 - np.arccos(np.clip(p.threshold, -1, 1)) / np.pi) ** _bits(count, p)
-    return p.trees if together >= 1 else max(p.trees, int(np.ceil(np.log(1 - p.recall) / np.log(1 - together))))
+    return p.trees if together >= 1 else max(p.trees, int(np.ceil(np.log(1 - p.shared) / np.log(1 - together))))
+
+
+#: More hyperplanes by which a leaf of too many rows is parted.
+SPARE = 20
 
 
 def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, trees: int, p: Parameters) -> DataFrame:
-    """(u, v, s, sure) of nodes (node, v, root): best partners in the leaves of trees ``first`` and on, at random parts of large leaves."""
+    """EDGES of nodes (node, v, root) met in the leaves of trees ``first`` and on.
+
+    Leaves of more than a block are parted by more hyperplanes; what still is too large, being all alike, at random.
+    """
     bits = _bits(count, p)
 
     def deal(batches):
         planes: dict[tuple[int, int], np.ndarray] = {}
         size = np.dtype(width).itemsize
+        weights = np.int64(1) << np.arange(bits + SPARE, dtype=np.int64)
         for b in batches:
             lengths = np.array([len(x) for x in b["v"].to_pylist()])
             for length in np.unique(lengths):
@@ -145,117 +209,110 @@ def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, trees: int,
                 x = _unit(own["v"], width)
                 for tree in range(first, first + trees):
                     if (key := (tree, int(length))) not in planes:
-                        planes[key] = np.random.default_rng([p.seed, tree, int(length)]).normal(size=(int(length) // size, bits))
-                    code = ((x @ planes[key]) > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                    leaf = pa.array(code.astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(np.full(len(x), length, np.int32)), leaf, own["node"], own["v"], own["root"]], ["tree", "length", "leaf", "node", "v", "root"])
+                        planes[key] = np.random.default_rng([p.seed, tree, int(length)]).normal(size=(int(length) // size, bits + SPARE))
+                    code = ((x @ planes[key]) > 0) @ weights
+                    leaf, spare = pa.array(code & ((1 << bits) - 1)), pa.array((code >> bits).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), tree, np.int32)), pa.array(np.full(len(x), length, np.int32)), leaf, spare, own["node"], own["v"], own["root"]], ["tree", "length", "leaf", "spare", "node", "v", "root"])
 
-    dealt = nodes.select("node", "v", "root").mapInArrow(deal, "tree int, length int, leaf long, node long, v binary, root long")
+    dealt = nodes.select("node", "v", "root").mapInArrow(deal, "tree int, length int, leaf long, spare int, node long, v binary, root long")
     leaf = ["tree", "length", "leaf"]
-    large = dealt.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.block).withColumn("parts", F.ceil(F.col("n") / p.block).cast("int")).drop("n")
-    part = F.pmod(F.xxhash64("node", "tree"), F.coalesce("parts", F.lit(1))).cast("int")
+    more = F.least(F.lit(SPARE), F.ceil(F.log2(F.col("n") / p.block))).cast("int")
+    large = dealt.groupBy(*leaf).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.block).select(*leaf, F.expr("1").alias("one"), more.alias("more"))
+    part = F.coalesce(F.expr("spare & (shiftleft(1, more) - 1)"), F.lit(0))
     placed = dealt.join(large, leaf, "left").select(*leaf, part.alias("part"), "node", "v", "root")
 
-    def compare(batches):
-        parts, rows = [], 0
-        for _, t in groups(batches, [*leaf, "part"], 2 * p.block):
-            parts += _compared(t["node"].to_numpy(), t["root"].to_numpy(), _unit(t["v"], width), p)
-            rows += len(parts[-2][0]) + len(parts[-1][0])
-            if rows > 100_000:
-                yield _edges(parts)
-                parts, rows = [], 0
-        if parts:
-            yield _edges(parts)
+    def compare(t: pa.Table) -> list[_Part]:
+        n = len(t)
+        return _compared(t["node"].to_numpy(), t["root"].to_numpy(), _unit(t["v"], width), p, np.full(n, p.neighbours, np.int32), np.full(n, -2.0))
 
     keys = [*leaf, "part"]
-    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, EDGES)
+    dealt = placed.repartition(*keys).sortWithinPartitions(*keys, F.xxhash64("node"))
+    return dealt.mapInArrow(lambda batches: _blockwise(batches, keys, 2 * p.block, compare), EDGES)
+
+
+LISTS = "u long, v long, s double, worst double, k int"
 
 
-def best_lists(edges: DataFrame, k: int) -> DataFrame:
-    """(u, v, s, worst, listed, sure): each node's k best distinct partners are listed; worst is the last one's score in a full list, else -2.
+def best_lists(edges: DataFrame, p: Parameters) -> DataFrame:
+    """LISTS: each node's k best distinct partners; worst is the last one's score in a full list, else -2.
 
-    Edges that are sure stay whether listed or not.
+    Saturated lists, full of links, get twice the length up to ``longest``, and are no longer full then.
     """
 
+    def close(parts: list[_Part]) -> pa.RecordBatch:
+        u, v, s, k, _ = _listed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        starts = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
+        sizes = np.diff(starts, append=len(u))
+        last, length = s[starts + sizes - 1], k[starts]
+        worst = np.where(sizes >= length, last, -2.0)
+        grows = (worst >= p.threshold) & (length < p.longest)
+        length = np.where(grows, np.minimum(2 * length, p.longest), length)
+        worst[grows] = -2.0
+        columns = [u, v, s, np.repeat(worst, sizes), np.repeat(length, sizes)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*_TYPES[:3], pa.float64(), pa.int32()), strict=True)], ["u", "v", "s", "worst", "k"])
+
     def trim(batches):
-        out: list[tuple[int, int, float, float, bool, bool]] = []
-        node, mine, sure = None, {}, {}
-        types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_()
+        parts: list[_Part] = []
+        for b in batches:
+            if not len(b):
+                continue
+            new = tuple(b[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "s", "k"))
+            last = int(np.searchsorted(new[0], new[0][-1]))  # where the last, still open node begins
+            if last:
+                yield close([*parts, tuple(x[:last] for x in new)])
+                parts = []
+            elif parts and parts[0][0][0] != new[0][0]:
+                yield close(parts)
+                parts = []
+            parts.append(tuple(x[last:] for x in new))
+            if sum(len(x[0]) for x in parts) > 100_000:  # a node that very many blocks know
+                parts = [_listed(*(np.concatenate(x) for x in zip(*parts, strict=True)))[:4]]
+        if parts:
+            yield close(parts)
 
-        def close():
-            worst = min(mine.values()) if len(mine) == k else -2.0
-            out.extend((node, v, s, worst, True, v in sure) for v, s in mine.items())
-            out.extend((node, v, s, worst, False, True) for v, s in sure.items() if v not in mine)
+    return edges.select("u", "v", "s", "k").repartition("u").sortWithinPartitions("u").mapInArrow(trim, LISTS)
 
-        def batch():
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], ["u", "v", "s", "worst", "listed", "sure"])
 
-        for b in batches:
-            for u, v, s, kept in zip(*(b[c].to_pylist() for c in ("u", "v", "s", "sure")), strict=True):
-                if u != node:
-                    if mine:
-                        close()
-                    node, mine, sure = u, {}, {}
-                if len(mine) < k and v not in mine:
-                    mine[v] = s
-                if kept:
-                    sure[v] = s
-            if len(out) > 50_000:
-                yield batch()
-                out.clear()
-        if mine:
-            close()
-        if out:
-            yield batch()
-
-    ordered = edges.select("u", "v", "s", "sure").repartition("u").sortWithinPartitions("u", F.desc("s"), "v")
-    return ordered.mapInArrow(trim, "u long, v long, s double, worst double, listed boolean, sure boolean")
-
-
-def introduced(lists: DataFrame, also: DataFrame | None, nodes: DataFrame, width: str, p: Parameters) -> DataFrame:
-    """(u, v, s, sure): pairs of other roots that a common neighbour, in ``lists`` or in ``also``, introduces, where one side's list would gain.
+def introduced(lists: DataFrame, nodes: DataFrame, width: str, p: Parameters) -> DataFrame:
+    """EDGES: pairs of other roots that a common neighbour introduces, where one side's list would gain.
 
     A host's guests beyond a block are cut into blocks that meet two by two.
     """
-    worst = lists.groupBy("u").agg(F.max("worst").alias("worst")).withColumnRenamed("u", "node")
-    known = nodes.select("node", "v", "root").join(worst, "node", "left").select("node", F.col("v").alias("vector"), "root", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    listed = lists.select("u", "v") if also is None else lists.select("u", "v").unionByName(also.select("u", "v"))
+    state = lists.groupBy("u").agg(F.max("worst").alias("worst"), F.max("k").alias("k")).withColumnRenamed("u", "node")
+    known = nodes.select("node", "v", "root").join(state, "node", "left")
+    known = known.select("node", F.col("v").alias("vector"), "root", F.coalesce("worst", F.lit(-2.0)).alias("worst"), F.coalesce("k", F.lit(p.neighbours)).alias("k"))
+    listed = lists.select("u", "v")
     links = listed.unionByName(listed.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().withColumnRenamed("v", "host")
-    large = links.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > p.block).select("host", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
-    sent = links.join(known, F.col("u") == F.col("node")).join(large, "host", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    guests = links.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
+    sent = links.join(guests, "host").join(known, F.col("u") == F.col("node"))
     sent = sent.withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("host", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("u").alias("guest"), "vector", "root", "worst")
-
-    def join(batches):
-        parts, rows = [], 0
-        for _, t in groups(batches, ["host", "i", "j"]):
-            parts += _compared(t["guest"].to_numpy(), t["root"].to_numpy(), _unit(t["vector"], width), p, t["worst"].to_numpy())
-            rows += len(parts[-2][0]) + len(parts[-1][0])
-            if rows > 100_000:
-                yield _edges(parts)
-                parts, rows = [], 0
-        if parts:
-            yield _edges(parts)
+    sent = sent.select("host", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("u").alias("guest"), "vector", "root", "worst", "k")
+
+    def compare(t: pa.Table) -> list[_Part]:
+        return _compared(t["guest"].to_numpy(), t["root"].to_numpy(), _unit(t["vector"], width), p, t["k"].to_numpy(), t["worst"].to_numpy())
 
     keys = ["host", "i", "j"]
-    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(join, EDGES)
-
-
-def descend(nodes: DataFrame, lists: DataFrame | None, also: DataFrame | None, width: str, total: int, first: int, trees: int, p: Parameters) -> tuple[DataFrame, DataFrame]:
-    """Lists of the best partners of other roots, after leaves and rounds, and a forest (a, b) of all links that were met."""
-    drop = lambda t: t.select("u", "v", "s", F.lit(False).alias("sure"))
-    edges = leaf_edges(nodes, width, total, first, trees, p)
-    kept = [cut(best_lists(edges if lists is None else edges.unionByName(drop(lists)), p.neighbours))]
-    state = lambda: kept[-1].where("listed").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    after = state()
-    for _ in range(p.rounds):
-        before, mine = after, kept[-1].where("listed")
-        kept.append(cut(best_lists(drop(mine).unionByName(introduced(mine, also, nodes, width, p)), p.neighbours)))
-        after = state()
-        if (after["s"] or 0) - (before["s"] or 0) <= p.settled * (before["n"] or 0) and after["n"] == before["n"]:
+    return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _blockwise(batches, keys, None, compare), EDGES)
+
+
+def descend(nodes: DataFrame, lists: DataFrame | None, width: str, total: int, first: int, trees: int, p: Parameters) -> tuple[DataFrame, DataFrame]:
+    """Lists of the best partners of other roots, after leaves and rounds, and the threshold edges (a, b) that were met."""
+    flat = lambda t: t.select("u", "v", "s", "k")
+    state = lambda t: tuple(t.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count(F.lit(1)), F.sum("k")).first())
+    edges = cut(leaf_edges(nodes, width, total, first, trees, p))
+    forests = [edges.where("sure").select("u", "v")]
+    edges = flat(edges.where("NOT sure"))
+    now = cut(best_lists(edges if lists is None else edges.unionByName(flat(lists)), p))
+    after = state(now)
+    for _ in range(p.rounds if after[1] else 0):
+        before, new = after, cut(introduced(now, nodes, width, p))
+        forests.append(new.where("sure").select("u", "v"))
+        now = cut(best_lists(flat(now).unionByName(flat(new.where("NOT sure"))), p))
+        after = state(now)
+        if after == before:
             break
-    met = [t.where("sure").select(F.col("u").alias("a"), F.col("v").alias("b")) for t in kept]
-    return kept[-1].where("listed"), reduce(DataFrame.unionByName, met)
+    met = [*forests, now.where(F.col("s") >= p.threshold).select("u", "v")]
+    return now, reduce(DataFrame.unionByName, met).select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def exact_forest(nodes: DataFrame, width: str, total: int, p: Parameters) -> DataFrame:
@@ -295,18 +352,78 @@ def exact_forest(nodes: DataFrame, width: str, total: int, p: Parameters) -> Dat
     return reduce(DataFrame.unionByName, found)
 
 
+def blocks_of(roots: DataFrame, nodes: DataFrame, width: str, p: Parameters) -> DataFrame:
+    """(root, block, node, v, copies): components in blocks of near members; hyperplanes deal a large one out, and chance what still is too large."""
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.least(F.lit(SPARE), F.ceil(F.log2(F.col("n") / p.part))).cast("int").alias("bits"))
+    member = roots.join(sizes, "root").join(nodes, "node").select("root", "node", "v", "copies", F.greatest("bits", F.lit(0)).alias("bits"))
+
+    def deal(batches):
+        planes: dict[int, np.ndarray] = {}
+        for b in batches:
+            code, bits = np.zeros(len(b), np.int64), b["bits"].to_numpy()
+            lengths = np.array([len(x) for x in b["v"].to_pylist()])
+            for length in np.unique(lengths[bits > 0]):
+                some = np.flatnonzero((lengths == length) & (bits > 0))
+                if length not in planes:
+                    planes[length] = np.random.default_rng([p.seed, int(length)]).normal(size=(int(length) // np.dtype(width).itemsize, SPARE))
+                # planes through the rows' own middle would part them better, but differ from task to task
+                sides = (_unit(b["v"].take(pa.array(some)), width) @ planes[length]) > 0
+                code[some] = (sides @ (np.int64(1) << np.arange(SPARE, dtype=np.int64))) & ((np.int64(1) << bits[some].astype(np.int64)) - 1)
+            yield pa.RecordBatch.from_arrays([b["root"], b["node"], b["v"], b["copies"], pa.array(code)], ["root", "node", "v", "copies", "code"])
+
+    dealt = cut(member.mapInArrow(deal, "root long, node long, v binary, copies long, code long"))
+    large = dealt.groupBy("root", "code").agg(F.ceil(F.count(F.lit(1)) / p.part).cast("long").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    return dealt.join(large, ["root", "code"], "left").select("root", (F.col("code") + F.shiftleft(part, SPARE)).alias("block"), "node", "v", "copies")
+
+
+def block_pairs(members: DataFrame, width: str, p: Parameters) -> DataFrame:
+    """(root, i, j, whole): pairs of a component's blocks, i <= j, that may hold links; all their pairs link where ``whole``."""
+    reach = float(np.arccos(np.clip(p.threshold, -1, 1)))
+
+    def measure(batches):
+        for (root, block), t in groups(batches, ["root", "block"]):
+            x = _unit(t["v"], width)
+            centre = x.mean(0)
+            length = np.linalg.norm(centre)
+            centre = centre / length if length > 1e-9 else x[0]
+            radius = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (int(root), int(block), centre.tobytes(), radius)], ["root", "block", "centre", "radius"])
+
+    keys = ["root", "block"]
+    measured = members.select(*keys, "v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(measure, "root long, block long, centre binary, radius double")
+    measured = cut(measured)
+    a = measured.select("root", F.col("block").alias("i"), F.col("centre").alias("a"), F.col("radius").alias("r"))
+    b = measured.select("root", F.col("block").alias("j"), F.col("centre").alias("b"), F.col("radius").alias("q"))
+
+    def bound(batches):
+        for t in batches:
+            apart = np.array([np.arccos(np.clip(np.frombuffer(x) @ np.frombuffer(y), -1, 1)) for x, y in zip(t["a"].to_pylist(), t["b"].to_pylist(), strict=True)])
+            spare = t["r"].to_numpy() + t["q"].to_numpy() + 1e-6  # beyond what rounding can do to an angle
+            whole = pa.array(apart + spare <= reach) if len(t) else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t["root"], t["i"], t["j"], whole], ["root", "i", "j", "whole"]).filter(pa.array(apart - spare <= reach) if len(t) else pa.array([], pa.bool_()))
+
+    return a.join(b, "root").where("i <= j").mapInArrow(bound, "root long, i long, j long, whole boolean")
+
+
 def link_counts(nodes: DataFrame, roots: DataFrame, width: str, p: Parameters) -> DataFrame:
     """(node, links): for nodes of a component how many other nodes' vectors, copies included, reach the threshold."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
-    member = roots.join(sizes, "root").join(nodes, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    member = member.select("root", "node", "v", "copies", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = member.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "v", "copies")
+    members = cut(blocks_of(roots, nodes, width, p))
+    pairs = cut(block_pairs(members, width, p))
+    sizes = members.groupBy("root", "block").agg(F.sum("copies").alias("held"))
+    whole = pairs.where("whole")
+    sides = whole.select("root", F.col("i").alias("block"), F.col("j").alias("other")).unionByName(whole.where("i <> j").select("root", F.col("j").alias("block"), F.col("i").alias("other")))
+    linked = sides.join(sizes.withColumnRenamed("block", "other"), ["root", "other"]).groupBy("root", "block")
+    linked = linked.agg(F.sum("held").alias("held"), F.max(F.col("other") == F.col("block")).alias("own"))
+    sure = members.join(linked, ["root", "block"]).select("node", (F.col("held") - F.when(F.col("own"), F.col("copies")).otherwise(0)).alias("links"))
+    open_ = pairs.where("NOT whole").drop("whole")
+    left = members.join(open_.withColumnRenamed("i", "block"), ["root", "block"]).select("root", F.col("block").alias("i"), "j", F.lit(True).alias("first"), "node", "v", "copies")
+    right = members.join(open_.where("i <> j").withColumnRenamed("j", "block"), ["root", "block"]).select("root", "i", F.col("block").alias("j"), F.lit(False).alias("first"), "node", "v", "copies")
 
     def count(batches):
         ids, links = [], []
         for (_, i, j), t in groups(batches, ["root", "i", "j"]):
-            x, n, c, side = _unit(t["v"], width), t["node"].to_numpy(), t["copies"].to_numpy(), t["own"].to_numpy() == i
+            x, n, c, side = _unit(t["v"], width), t["node"].to_numpy(), t["copies"].to_numpy(), t["first"].to_numpy(zero_copy_only=False)
             if i == j:
                 near = x @ x.T >= p.threshold
                 np.fill_diagonal(near, False)
@@ -323,8 +440,8 @@ def link_counts(nodes: DataFrame, roots: DataFrame, width: str, p: Parameters) -
         if ids:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(links).astype(np.int64))], ["node", "links"])
 
-    grouped = pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return grouped.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    grouped = left.unionByName(right).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return grouped.mapInArrow(count, "node long, links long").unionByName(sure).groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def audit(nodes: DataFrame, roots: DataFrame, found: DataFrame, width: str, p: Parameters) -> float:
@@ -384,14 +501,17 @@ def embedding_groups(embeddings: DataFrame, p: Parameters = Parameters()) -> Dat
         return roots, nodes.select("node", "v").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     for attempt in range(p.attempts):
-        lists, met = descend(alone, lists, None, width, total, tree, trees, p)
+        lists, met = descend(alone, lists, width, total, tree, trees, p)
         tree += trees
         forests.append(met)
         roots, own = joined_up()
-        # leaves that hold all nodes have compared all of them; else saturated lists may hide links to other components
-        while total > min(p.leaf, p.block) and not lists.where(F.col("worst") >= p.threshold).isEmpty():
-            _, met = descend(own, None, lists, width, total, tree, trees, p)
-            tree += trees
+        # leaves that hold all nodes have compared all of them; else two lists that are saturated at their longest may hide a link
+        stuck = cut(lists.where(F.col("worst") >= p.threshold).select(F.col("u").alias("node")).distinct())
+        left = stuck.count() if total > min(p.leaf, p.block) else 0
+        while left:
+            more = tree_count(left, p)
+            _, met = descend(own.join(stuck, "node"), None, width, left, tree, more, p)
+            tree += more
             if met.isEmpty():
                 break
             forests.append(met)

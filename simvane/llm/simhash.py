@@ -177,7 +177,7 @@ def close_edges(distinct: DataFrame, p: Parameters) -> DataFrame:
             for lo, hi in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(key)]]), strict=True):
                 side = is_left[lo:hi]
                 f = fp[lo:hi]
-                if side.any() and hi - lo > 2:
+                if side.any() and not side.all():
                     out += close_forest(f[side], f[~side], distance)
             return out
 

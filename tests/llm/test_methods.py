@@ -126,11 +126,24 @@ def test_fingerprints_and_groups_match_plain_ones(spark, chunk):
     r = random.Random(5)
     rows = [(i, prose(i % 9, 120)) for i in range(27)] + [(100 + i, None if i == 0 else "") for i in range(3)]
     rows += [(200 + i, prose(1, 120).replace(r.choice(["the", "of"]), "uh", 1)) for i in range(12)] + [(i + 300, t) for i, t in ODD if i]
-    got = {x["doc_id"]: (int(x["fingerprint"], 16), x["component_id"]) for x in simhash.simhash_groups(documents(spark, rows), simhash.Parameters(chunk=chunk)).collect()}
-    prints = {i: fingerprint(t) for i, t in rows}
-    assert {i: f for i, (f, _) in got.items() if i != 306} == {i: f for i, f in prints.items() if i != 306}
-    prints = {i: f for i, (f, _) in got.items()}
-    assert {i: c for i, (_, c) in got.items()} == components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    got = [(x["doc_id"], int(x["fingerprint"], 16), x["component_id"]) for x in simhash.simhash_groups(documents(spark, rows), simhash.Parameters(chunk=chunk)).collect()]
+    prints = [(i, fingerprint(t)) for i, t in rows]
+    assert sorted(x[:2] for x in got) == sorted(prints)
+    least = {}
+    for i, f in prints:
+        least[f] = min(i, least.get(f, i))
+    root = components(sorted(least), lambda a, b: (a ^ b).bit_count() <= 3)
+    first = {}
+    for f, r in root.items():
+        first[r] = min(least[f], first.get(r, least[f]))
+    assert all(c == first[root[f]] for _, f, c in got)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 4096])
+def test_lone_pairs_of_two_chunks_link(spark, chunk):
+    distinct = spark.createDataFrame([(0,), (3,), (4,), (1 << 40,), (-1,)], "fp long")
+    root = {r["node"]: r["root"] for r in cc.connected_components(simhash.close_edges(distinct, simhash.Parameters(chunk=chunk))).collect()}
+    assert root == {0: 0, 3: 0, 4: 0, 1 << 40: 0}
 
 
 def test_components(spark):
