@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from simvane.session import share_path
+from simvane.session import lean, share_path
 
 END = "</w>"
 #: Fixed pattern of the vocabulary's words; marks of elision stand alone, digits too.
@@ -458,7 +458,7 @@ def _mapped(df: DataFrame, vocabulary: str, source: str, added: str, columns: Ca
                 yield pa.RecordBatch.from_arrays([*own, *(x.cast(t) for x, t in zip(found, kinds, strict=True))], [*kept, *names])
                 lo = hi
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _encoded(codec: Codec, values: pa.Array) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from simvane.session import share_path
+from simvane.session import lean, share_path
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -194,4 +194,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(h.as_py()) for h in part["html"]]
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, SCHEMA)
+    return pages.select("page_id", "url", "html").mapInArrow(lean(run), SCHEMA)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from simvane.session import cut
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's text, modulo ``folds``; a null id counts as an empty text."""
@@ -27,14 +29,24 @@ def class_sample(labels: DataFrame, label: str, per_class: int) -> tuple[DataFra
     return labels.sparkSession.createDataFrame(rows, "doc_id long, y int"), sizes
 
 
-def sampled_features(documents: DataFrame, sample: DataFrame, featurise: Callable[[pa.Array], list[bytes]]) -> list[tuple[int, int, bytes]]:
-    """(doc_id, y, features) of the sampled documents, sorted by id; the sample's size bounds the broadcast and the result."""
+def sampled_features(documents: DataFrame, sample: DataFrame, featurise: Callable[[pa.Array], list[bytes]], most_bytes: int) -> list[tuple[int, int, bytes]]:
+    """(doc_id, y, features) of the sampled documents, sorted by id.
+
+    Of each class, rows come in the order of an id's hash while they have at most half of ``most_bytes``:
+    few long texts then make up the sample, and neither their number nor their length fills the driver.
+    """
     schema = "doc_id long, y int, features binary"
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["y"], pa.array(featurise(b["text"]), pa.binary())], ["doc_id", "y", "features"])
+            for lo in range(0, len(b), 64):
+                some = b.slice(lo, 64)
+                yield pa.RecordBatch.from_arrays([some["doc_id"], some["y"], pa.array(featurise(some["text"]), pa.binary())], ["doc_id", "y", "features"])
 
     joined = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = joined.select("doc_id", "y", "text").mapInArrow(run, schema).collect()
+    made = cut(joined.select("doc_id", "y", "text").mapInArrow(run, schema))
+    # of no more rows than the sample has: a running sum is cheap
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.sha2("features", 256)).rowsBetween(Window.unboundedPreceding, 0)
+    held = made.withColumn("held", F.sum(F.length("features")).over(order))
+    found = held.where((F.col("held") <= most_bytes // 2) | (F.col("held") == F.length("features"))).select("doc_id", "y", "features").collect()
     return sorted((r["doc_id"], r["y"], bytes(r["features"])) for r in found)

@@ -17,20 +17,21 @@ from pyspark.sql import functions as F
 
 from simvane.llm import labelled
 from simvane.llm import text as tx
-from simvane.session import share_path
+from simvane.session import lean, share_path
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """``per_class`` bounds the labelled rows that the fit reads, ``bits`` the feature space."""
+    """``per_class`` and ``most_bytes`` bound the labelled rows that the fit reads, ``bits`` the feature space."""
 
     label: str = "quality"
     folds: int = 5
     held_out: int = 0
     threshold: float = 0.3
     per_class: int = 3000
+    most_bytes: int = 128 << 20
     bits: int = 18
     smoothing: float = 1.0
     cost: float = 1.0
@@ -194,7 +195,8 @@ def fit(rows: list[tuple[int, int, bytes]], sizes: dict[int, int], p: Parameters
 def quality_classifier(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """One row (SCHEMA) for each document: probability of label 1 and whether it reaches the threshold.
 
-    Learns from at most ``2 * per_class`` labelled rows outside the held-out fold; only texts enter.
+    Learns from at most ``2 * per_class`` labelled rows, of ``most_bytes`` of features, outside the held-out fold;
+    only texts enter.
     Null or empty texts, and all texts if labels lack a class, score the classes' prior share.
     A null id counts as held out if the empty text's fold is. Repeated rows score alike, ids labelled
     twice take the larger label, and other columns are never read.
@@ -212,7 +214,7 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, p: Parameters =
             out += [buckets[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return out
 
-    model = documents.sparkSession.sparkContext.broadcast(fit(labelled.sampled_features(documents, sample, featurise), sizes, p))
+    model = documents.sparkSession.sparkContext.broadcast(fit(labelled.sampled_features(documents, sample, featurise, p.most_bytes), sizes, p))
     threshold = p.threshold
 
     def run(batches):
@@ -221,4 +223,4 @@ def quality_classifier(documents: DataFrame, labels: DataFrame, p: Parameters =
             score = tx.per_block(b["text"], lambda data, offsets: {"score": m.scores(data, offsets, bits)})["score"]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return documents.select("doc_id", (fold == p.held_out).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return documents.select("doc_id", (fold == p.held_out).alias("held_out"), "text").mapInArrow(lean(run), SCHEMA)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from simvane.llm import text as tx
-from simvane.session import share_path
+from simvane.session import lean, share_path
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
@@ -221,4 +221,4 @@ def quality_rules(documents: DataFrame, rules: Rules, keep: list[str] | None = N
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(cols[c]) for c in fields)], ["doc_id", *fields])
 
     source = documents.select("doc_id", "text") if keep is None else documents.select(*keep)
-    return source.mapInArrow(run, names)
+    return source.mapInArrow(lean(run), names)

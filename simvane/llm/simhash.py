@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simvane.llm.components import connected_components
-from simvane.session import cut, share_path
+from simvane.session import cut, lean, share_path
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def fingerprints(documents: DataFrame, p: Parameters = Parameters(), *more: str)
             found = np.fromiter((fingerprint(t.as_py(), p.shingle, p.seed) for t in b["text"]), np.int64, len(b))
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array(found)], [*names, "fp"])
 
-    return documents.select(*names, "text").mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
+    return documents.select(*names, "text").mapInArrow(lean(run), ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def syndromes(values: np.ndarray) -> np.ndarray:

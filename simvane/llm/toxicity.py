@@ -3,8 +3,11 @@
 A word is the mean of the vectors of its own bucket and of its n-grams' buckets; a text is the mean
 of its distinct words, each weighing log(1 + its count), and of some blank words, so that a handful
 of words decides little. A linear softmax over that mean tells the classes. Vectors and softmax are
-trained together in NumPy; a rising curve fitted on rows left out of that turns logits into
-probabilities under the classes' shares among all labelled rows.
+trained together in NumPy, a text at a time, both classes weighing alike. After each pass all vectors
+shrink by one length, so that only n-grams that texts of a class share keep one: invented words, of
+which every text has some, would else learn texts by heart. Several models, each trained without one
+part of the rows, are averaged; a rising curve fitted on the logits of the parts left out turns logits
+into probabilities under the classes' shares among all labelled rows.
 A misspelt word shares most n-grams with the word meant, hence its vector.
 """
 
@@ -21,17 +24,18 @@ from pyspark.sql import functions as F
 
 from simvane.llm import labelled
 from simvane.llm import text as tx
-from simvane.session import share_path
+from simvane.session import lean, share_path
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """``per_class`` bounds the labelled rows that the fit reads; ``bits`` and ``dimension`` the vectors.
+    """``per_class`` and ``most_bytes`` bound the labelled rows that the fit reads; ``bits`` and ``dimension`` the vectors.
 
     ``blank`` is the weight of the blank words. Only buckets of ``least_rows`` sampled rows or more are
-    trained, others stay 0; each starts as if ``past`` gradients had been seen.
+    trained, others stay 0. A text's step moves its own logit by ``most_step`` times its error at most.
+    ``parts`` models are averaged.
     """
 
     label: str = "toxic"
@@ -39,14 +43,17 @@ class Parameters:
     held_out: int = 1
     threshold: float = 0.7
     per_class: int = 2500
+    most_bytes: int = 128 << 20
     bits: int = 18
-    dimension: int = 8
+    dimension: int = 4
     grams: tuple[int, int] = (3, 5)
     blank: float = 30.0
     least_rows: int = 5
-    past: float = 100.0
-    epochs: int = 14
-    rate: float = 3.0
+    epochs: int = 8
+    rate: float = 0.01
+    shrink: float = 0.01
+    most_step: float = 5.0
+    parts: int = 4
     seed: int = 11
 
 
@@ -151,7 +158,10 @@ class Model:
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, p: Parameters) -> tuple[np.ndarray, float]:
-    """Vectors and softmax together, a text at a time with steps that adapt to each bucket; returns (gain, bias)."""
+    """Vectors and softmax together, a text at a time; returns (gain, bias).
+
+    A bucket's rate falls with the root of its rows, and with the square of the weight that it usually has.
+    """
     rng = np.random.default_rng(p.seed)
     in_rows, squares = np.zeros(1 << p.bits, np.int64), np.zeros(1 << p.bits)
     for x, v in docs:
@@ -159,13 +169,14 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, p: Parameter
         squares[x] += v * v
     common = in_rows >= min(p.least_rows, 1 + len(docs) // 200)
     docs = [(x[common[x]], v[common[x]]) for x, v in docs]
-    # a gradient's square starts near a quarter of the weight's: the error begins at one half
-    seen = (squares / np.maximum(in_rows, 1) * p.past / 4 + 1e-12).astype(np.float32)
+    usual = np.sqrt(squares / np.maximum(in_rows, 1)) + 1e-12
+    rates = (p.rate / (usual**2 * np.sqrt(np.maximum(in_rows, 1)))).astype(np.float32)
+    weigh = len(y) / 2 / np.maximum(np.bincount(y, minlength=2), 1)
     vectors = np.zeros((1 << p.bits, p.dimension), np.float32)
     soft = rng.normal(0, 0.5, (2, p.dimension)).astype(np.float32)
     bias = np.zeros(2)
     for epoch in range(p.epochs):
-        rate = p.rate * (1 - epoch / p.epochs)
+        rate = 1 - epoch / p.epochs
         for i in rng.permutation(len(docs)):
             x, v = docs[i]
             own = vectors[x]
@@ -174,16 +185,20 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, p: Parameter
             e = np.exp(z - z.max())
             error = e / e.sum()
             error[y[i]] -= 1
+            error *= weigh[y[i]]
             back = error @ soft
-            seen[x] += v * v * float(back @ back)
-            vectors[x] = own - ((rate * v / np.sqrt(seen[x]))[:, None] * back[None, :]).astype(np.float32)
+            step = rate * v * rates[x]
+            step *= min(1.0, p.most_step / max(float(step @ v), 1e-9))
+            vectors[x] = own - (step[:, None] * back[None, :]).astype(np.float32)
             soft -= (0.05 * rate * error[:, None] * mean[None, :]).astype(np.float32)
             bias -= 0.01 * rate * error
+        length = np.sqrt((vectors * vectors).sum(1)) * usual  # what the vector adds to a mean
+        vectors *= np.maximum(0, 1 - p.shrink * rate / np.maximum(length, 1e-12))[:, None].astype(np.float32)
     return (vectors @ (soft[1] - soft[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
 def fit(rows: list[tuple[int, int, bytes]], sizes: dict[int, int], p: Parameters) -> Model:
-    """Fits on sampled (doc_id, y, bag); a quarter of the rows only sets the curve from logit to probability."""
+    """Fits on sampled (doc_id, y, bag): the average of the parts' models, and the curve from their logits of rows they didn't see."""
     total = sum(sizes.values())
     prior = sizes.get(1, 0) / total if total else 0.5
     y = np.array([r[1] for r in rows], int)
@@ -193,19 +208,28 @@ def fit(rows: list[tuple[int, int, bytes]], sizes: dict[int, int], p: Parameters
     for _, _, raw in rows:
         n = len(raw) // 8
         docs.append((np.frombuffer(raw, np.int32, n), np.frombuffer(raw, np.float32, n, 4 * n)))
-    part = np.random.default_rng(p.seed).random(len(docs)) < 0.75
-    own = np.flatnonzero(part)
-    gain, bias = train([docs[i] for i in own], y[own], p)
-    logit = np.array([float(v @ gain[x]) + bias for x, v in docs])
-    rest = ~part if len(set(y[~part].tolist())) == 2 else np.ones(len(y), bool)
-    seen = np.bincount(y[rest], minlength=2)
-    return Model(gain, bias, rising_curve(logit[rest], y[rest], np.array([(1 - prior) / seen[0], prior / seen[1]])[y[rest]]), prior)
+    part = np.zeros(len(docs), int)
+    for label in (0, 1):  # each part has its share of both classes
+        own = np.flatnonzero(y == label)
+        part[np.random.default_rng([p.seed, label]).permutation(own)] = np.arange(len(own)) % p.parts
+    logit, gain, bias = np.zeros(len(docs)), np.zeros(1 << p.bits), 0.0
+    for k in range(p.parts):
+        own = np.flatnonzero(part != k)
+        if len(set(y[own].tolist())) < 2:
+            own = np.arange(len(docs))
+        mine, offset = train([docs[i] for i in own], y[own], p)
+        for i in np.flatnonzero(part == k):
+            logit[i] = docs[i][1] @ mine[docs[i][0]] + offset
+        gain, bias = gain + mine / p.parts, bias + offset / p.parts
+    seen = np.bincount(y, minlength=2)
+    return Model(gain, bias, rising_curve(logit, y, np.array([(1 - prior) / seen[0], prior / seen[1]])[y]), prior)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """One row (SCHEMA) for each document: probability of label 1 and whether it reaches the threshold.
 
-    Learns from at most ``2 * per_class`` labelled rows outside the held-out fold; only texts enter.
+    Learns from at most ``2 * per_class`` labelled rows, of ``most_bytes`` of features, outside the held-out fold;
+    only texts enter.
     Null, empty and wordless texts, and all texts if labels lack a class, score the classes' prior
     share. A null id counts as held out if the empty text's fold is. Repeated rows score alike, ids
     labelled twice take the larger label, and other columns are never read.
@@ -222,7 +246,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters
             out.append(x.tobytes() + v.tobytes())
         return out
 
-    model = documents.sparkSession.sparkContext.broadcast(fit(labelled.sampled_features(documents, sample, featurise), sizes, p))
+    model = documents.sparkSession.sparkContext.broadcast(fit(labelled.sampled_features(documents, sample, featurise, p.most_bytes), sizes, p))
 
     def run(batches):
         m = model.value
@@ -230,4 +254,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, p: Parameters = Parameters
             score = tx.per_block(pc.utf8_lower(b["text"]), lambda data, offsets: {"score": m.scores(data, offsets, p)})["score"]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(score), pa.array((score >= p.threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return documents.select("doc_id", (fold == p.held_out).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return documents.select("doc_id", (fold == p.held_out).alias("held_out"), "text").mapInArrow(lean(run), SCHEMA)
