@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from simvane.llm import labelled
 from simvane.llm import text as tx
-from simvane.session import share_path
+from simvane.session import lean, share_path
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
@@ -234,4 +234,4 @@ def language_id(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(names[found["best"].astype(int)], pa.string()), pa.array(found["score"])], ["doc_id", "held_out", "lang_pred", "score"])
 
     held_out = labelled.fold(F.col("doc_id"), p.folds) == p.held_out
-    return documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    return documents.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(lean(run), SCHEMA)
