@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from simvane.llm.text import binary, spread, sums
 from simvane.session import lean, share_path
 
 END = "</w>"
@@ -186,20 +187,6 @@ def normalise(text: str) -> str:
     return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
-def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places first, first + 1, ... of each run, one run after another."""
-    begin = np.cumsum(lengths) - lengths
-    return np.repeat(first - begin, lengths) + np.arange(int(lengths.sum()))
-
-
-def sums(lengths: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(lengths)])
-
-
-def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 class Codec:
     """Encodes and decodes by compiled tables, with a memory of words."""
 

@@ -42,7 +42,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.Rules(path("piece_bpe_32k.model")))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.Rules(path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken")))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,26 @@
 """Quality rules: counts of words, symbols and repeats, and tokeniser fertility.
 
-A public vocabulary cuts each word of a text into pieces. Natural prose of a script yields a
-narrow range of characters per token, few byte-fallback pieces and a tokens' entropy that grows
-with the length; junk, mojibake and lists of symbols leave those bands and are rejected.
+Public vocabularies cut each word of a text into pieces: one with byte fallback, and one of many
+languages' byte pairs. Natural prose of a script yields a narrow range of characters per token under
+both, few byte-fallback pieces and a tokens' entropy that grows with the length; junk, mojibake and
+lists of symbols leave those bands and are rejected.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from simvane.llm import text as tx
 from simvane.session import lean, share_path
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
+MEASURES = ("chars_per_token", "chars_per_pair", "fallback_share", "token_entropy")
 SCHEMA = ", ".join(
     ["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "kept boolean", "script string", *(f"{c} double" for c in MEASURES)]
 )
@@ -25,27 +28,32 @@ SCHEMA = ", ".join(
 
 @dataclass(frozen=True)
 class Band:
-    """What a script's prose keeps to; entropy is in bits a token, against log2 of the number of tokens."""
+    """What a script's prose keeps to; ``chars_per_pair`` is under the byte-pair vocabulary, entropy in bits a token, against log2 of the number of tokens."""
 
     chars_per_token: tuple[float, float]
+    chars_per_pair: tuple[float, float]
     fallback_share: float
     entropy_ratio: float
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Fixed limits: a text needs ``least_words`` and at most ``most_repeated`` percent of repeated words."""
+    """Fixed limits: a text needs ``least_words`` and at most ``most_repeated`` percent of repeated words.
+
+    ``vocabulary`` and ``pairs`` are the paths of a sentencepiece model with byte fallback and of a byte-pair rank file.
+    """
 
     vocabulary: str = ""
+    pairs: str = ""
     least_words: int = 50
     most_repeated: int = 50
     bands: dict[str, Band] = field(
         default_factory=lambda: {
-            "latin": Band((1.60, 8.0), 0.02, 0.615),
-            "cyrillic": Band((1.40, 8.0), 0.05, 0.55),
-            "greek": Band((0.90, 6.0), 0.20, 0.50),
-            "han": Band((0.40, 4.0), 0.80, 0.45),
-            "other": Band((0.25, 8.0), 0.95, 0.40),
+            "latin": Band((1.60, 8.0), (2.0, 8.0), 0.02, 0.615),
+            "cyrillic": Band((1.40, 8.0), (1.0, 8.0), 0.05, 0.55),
+            "greek": Band((0.75, 6.0), (0.7, 8.0), 0.20, 0.50),
+            "han": Band((0.40, 4.0), (0.4, 5.0), 0.80, 0.45),
+            "other": Band((0.25, 8.0), (0.25, 8.0), 0.95, 0.40),
         }
     )
 
@@ -59,104 +67,109 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def repeated_keys(keys: np.ndarray) -> np.ndarray:
-    """Whether each key occurs twice or more."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    alike = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(keys), bool)
-    twice[order[1:]] |= alike
-    twice[order[:-1]] |= alike
-    return twice
-
-
-def _row_salt(rows: np.ndarray) -> np.ndarray:
-    return tx.mix(rows.astype(np.uint64) + np.uint64(0x51ED))
+def repeated_windows(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of words, numbered by their bytes, in the order of rows: whether each lies in a window of three that its row has twice or more."""
+    repeated = np.zeros(len(words), bool)
+    at = np.flatnonzero(rows[2:] == rows[:-2]) if len(words) > 2 else np.zeros(0, np.int64)
+    if len(at):
+        pairs = words[:-1] << 32 | words[1:]
+        if int(words.max()) >= 1 << 21:  # else three numbers fit in one
+            pairs = np.unique(pairs, return_inverse=True)[1]
+            windows = pairs[at] << 32 | words[at + 2]
+        else:
+            windows = words[at] << 42 | words[at + 1] << 21 | words[at + 2]
+        order = np.argsort(windows, kind="stable")  # a row's own windows stay together
+        alike = (windows[order[1:]] == windows[order[:-1]]) & (rows[at[order[1:]]] == rows[at[order[:-1]]])
+        hit = at[np.unique(np.concatenate([order[1:][alike], order[:-1][alike]]))]
+        for k in range(3):
+            repeated[hit + k] = True
+    return repeated
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple]:
-    """The counts of COUNTS by row, and the words (starts, ends, rows, hashes)."""
+    """The counts of COUNTS by row, and the words: (starts, ends, rows), the distinct ones, and which one each is."""
     n = len(offsets) - 1
     inside = ~tx.SPACE[data]
     starts, ends = tx.runs(inside, offsets)
     rows = tx.rows_of(starts, offsets)
-    spans = tx.SpanHash(data)
-    words = spans(starts, ends)
+    distinct, words = tx.distinct(data[inside], ends - starts)
     out = {"n_words": tx.per_row(rows, n)}
     out["word_chars"] = tx.count_in(inside & tx.LEAD[data], offsets[:-1], offsets[1:])
     out["n_symbols"] = tx.count_in(_SYMBOL[data], offsets[:-1], offsets[1:])
 
-    line_start, line_end = tx.runs(data != 0x0A, offsets)
+    solid = data != 0x0A
+    line_start, line_end = tx.runs(solid, offsets)
     with_word = tx.count_in(inside, line_start, line_end) > 0
-    line_start, line_end = line_start[with_word], line_end[with_word]
-    line_rows = tx.rows_of(line_start, offsets)
-    # rows are few against 64 bits, so each row scrambles its lines' hashes in its own way
-    keys = tx.mix(spans(line_start, line_end) ^ _row_salt(line_rows))
-    again = np.ones(len(keys), bool)
-    again[np.unique(keys, return_index=True)[1]] = False
+    lines = tx.distinct(data[solid], line_end - line_start)[1][with_word]
+    line_rows = tx.rows_of(line_start[with_word], offsets)
+    again = np.ones(len(lines), bool)
+    again[np.unique(line_rows << 32 | lines, return_index=True)[1]] = False
     out["n_dup_lines"] = tx.per_row(line_rows[again], n)
-
-    repeated = np.zeros(len(words), bool)
-    if len(words) > 2:
-        whole = rows[2:] == rows[:-2]
-        windows = tx.mix(tx.mix(tx.mix(words[:-2] ^ _row_salt(rows[:-2])) + words[1:-1]) + words[2:])
-        at = np.flatnonzero(whole)
-        hit = at[repeated_keys(windows[at])]
-        for k in range(3):
-            repeated[hit + k] = True
-    out["n_repeat_words"] = tx.per_row(rows[repeated], n)
-    return out, (starts, ends, rows, words)
+    out["n_repeat_words"] = tx.per_row(rows[repeated_windows(rows, words)], n)
+    return out, (starts, ends, rows, distinct, words)
 
 
 class Fertility:
-    """Cuts words by a public vocabulary, each distinct word of a block once."""
+    """Cuts words by the public vocabularies, each distinct word of a block once."""
 
-    #: Words kept between blocks; beyond it the memory starts anew, which only costs time.
-    MOST = 300_000
+    #: Words kept between blocks, and their bytes; beyond it the memory starts anew, which only costs time.
+    MOST, MOST_BYTES = 300_000, 12 << 20
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, rules: Rules):
         import sentencepiece
 
-        self.pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_file=rules.vocabulary)
         self.is_byte = np.array([self.pieces.IsByte(i) for i in range(self.pieces.GetPieceSize())])
+        self.pairs = byte_pairs(rules.pairs)
+        self.pair_bytes = np.array([len(x) for x in self.pairs.decode_tokens_bytes(range(self.pairs.n_vocab))], np.int64)
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.slot = np.zeros(0, np.int64)  # the place of each hash's ids
-        self.first = np.zeros(1, np.int64)  # ids of slot s: ids[first[s]:first[s + 1]]
-        self.ids = np.zeros(0, np.int32)
-
-    def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct words' inverse, and their tokens as (lengths, ids) in the order of slots."""
-        distinct, at, inverse = np.unique(words, return_index=True, return_inverse=True)
-        if len(self.hashes) > self.MOST:
-            self._clear()
-        place = np.searchsorted(self.hashes, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == distinct
-        new = np.flatnonzero(~known)
+        self.known = pa.array([], pa.large_binary())
+        self.first = np.zeros(1, np.int64)  # ids of word w: ids[first[w]:first[w + 1]]
+        self.ids, self.paired = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _pairs(self, words: list[str], sizes: np.ndarray) -> np.ndarray:
+        """The number of byte pairs in each word with a space before it; the encoder's pattern never joins two words."""
+        ids = np.array(self.pairs.encode_ordinary(" " + " ".join(words)), np.int64)
+        begins = np.cumsum(self.pair_bytes[ids]) - self.pair_bytes[ids]
+        return np.diff(np.searchsorted(begins, tx.sums(sizes + 1)))
+
+    def of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words where their ids begin and how many they are, and their numbers of byte pairs."""
+        place = pc.fill_null(pc.index_in(distinct, self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            raw = data.tobytes()
-            cut = self.pieces.encode([raw[starts[i] : ends[i]].decode() for i in at[new]], num_threads=1)
+            if len(self.known) + len(new) > self.MOST or self.known.nbytes > self.MOST_BYTES:
+                self._clear()
+                new, place = np.arange(len(distinct)), np.zeros(len(distinct), np.int64)
+            fresh = distinct.take(pa.array(new))
+            words = fresh.cast(pa.large_string()).to_pylist()
+            cut = self.pieces.encode(words, num_threads=1)
             lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-            slots = len(self.first) - 1 + np.arange(len(new))
+            place[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, fresh])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for c in cut for x in c), np.int32, int(lengths.sum()))])
-            hashes, slot = np.concatenate([self.hashes, distinct[new]]), np.concatenate([self.slot, slots])
-            order = np.argsort(hashes, kind="stable")
-            self.hashes, self.slot = hashes[order], slot[order]
-        slots = self.slot[np.searchsorted(self.hashes, distinct)][inverse]
-        return slots, self.first[slots], self.first[slots + 1] - self.first[slots]
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(cut), np.int32, int(lengths.sum()))])
+            self.paired = np.concatenate([self.paired, self._pairs(words, pc.binary_length(fresh).to_numpy())])
+        return self.first[place], self.first[place + 1] - self.first[place], self.paired[place]
+
+
+def byte_pairs(ranks: str):
+    """The encoder of a byte-pair rank file; words come one by one, so that its pattern hardly matters."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("pairs", pat_str=r" ?[^ ]{1,64}", mergeable_ranks=table, special_tokens={})
 
 
 def fertility(found: Fertility, data: np.ndarray, n: int, words: tuple) -> dict[str, np.ndarray]:
     """Characters a token, share of byte-fallback tokens and entropy in bits, by row; 0 where a row has no token."""
-    starts, ends, rows, hashes = words
-    _, first, lengths = found.of(data, starts, ends, hashes)
+    starts, ends, rows, distinct, number = words
+    first, lengths, paired = (x[number] for x in found.of(distinct))
     total = int(lengths.sum())
     begin = np.cumsum(lengths) - lengths
     ids = found.ids[np.repeat(first - begin, lengths) + np.arange(total)]
@@ -172,6 +185,7 @@ def fertility(found: Fertility, data: np.ndarray, n: int, words: tuple) -> dict[
     return {
         "tokens": tokens,
         "chars_per_token": chars / some,
+        "chars_per_pair": chars / np.maximum(tx.per_row(rows, n, paired), 1),
         "fallback_share": fallback / some,
         "token_entropy": np.maximum(0.0, np.log2(some) - loss / some),
     }
@@ -191,11 +205,12 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: Rules, found: Fertility)
     script = scripts_of(data, offsets)
     out["script"] = np.array(SCRIPTS, object)[script]
     bands = [rules.bands[s] for s in SCRIPTS]
-    low, high, fallback, ratio = (np.array(x)[script] for x in zip(*((b.chars_per_token[0], b.chars_per_token[1], b.fallback_share, b.entropy_ratio) for b in bands), strict=True))
+    low, high, fewest, most, fallback, ratio = (np.array(x)[script] for x in zip(*((*b.chars_per_token, *b.chars_per_pair, b.fallback_share, b.entropy_ratio) for b in bands), strict=True))
     out["base_failed"] = (out["n_words"] < rules.least_words) | (100 * out["n_repeat_words"] > rules.most_repeated * out["n_words"])
     # a text of n tokens can't have more than log2(n) bits, nor does prose go far beyond 2 ** 10 kinds
     reach = np.minimum(np.log2(np.maximum(out["tokens"], 2)), 10.0)
-    fits = (out["chars_per_token"] >= low) & (out["chars_per_token"] <= high) & (out["fallback_share"] <= fallback) & (out["token_entropy"] >= ratio * reach)
+    fits = (out["chars_per_token"] >= low) & (out["chars_per_token"] <= high) & (out["chars_per_pair"] >= fewest) & (out["chars_per_pair"] <= most)
+    fits &= (out["fallback_share"] <= fallback) & (out["token_entropy"] >= ratio * reach)
     out["kept"] = ~out["base_failed"] & fits
     return out
 
@@ -211,7 +226,7 @@ def quality_rules(documents: DataFrame, rules: Rules, keep: list[str] | None = N
     names = SCHEMA if keep is None else documents.select(*keep).schema
 
     def run(batches):
-        found = Fertility(rules.vocabulary)
+        found = Fertility(rules)
         for b in batches:
             cols = tx.per_block(b["text"], lambda data, offsets: judge(data, offsets, rules, found), 2 * tx.BLOCK_BYTES)
             if keep is not None:

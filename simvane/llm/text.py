@@ -79,17 +79,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
+    """Powers of the base and of its inverse; kept for blocks, made anew for a longer text."""
+    if "up" not in _powers or n > len(_powers["up"]):
+        made = {}
         for name, base in (("up", _ODD), ("down", _INVERSE)):
-            table = np.full(size, base, np.uint64)
+            table = np.full(max(n, 2 * BLOCK_BYTES + 1), base, np.uint64)
             table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
+            made[name] = np.multiply.accumulate(table)
+        if n > 2 * BLOCK_BYTES + 1:
+            return made["up"], made["down"]
+        _powers.update(made)
     return _powers["up"], _powers["down"]
 
 
 class SpanHash:
-    """Hashes any span of a block in constant time, alike for alike bytes."""
+    """Hashes any span of a block in constant time, alike for alike bytes: for features, where a rare collision changes nothing; equality is told by ``distinct``."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -101,6 +105,30 @@ class SpanHash:
         return mix((self._sums[ends] - self._sums[starts]) * self._down[starts])
 
 
+def spread(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of each run, one run after another."""
+    begin = np.cumsum(lengths) - lengths
+    return np.repeat(first - begin, lengths) + np.arange(int(lengths.sum()))
+
+
+def sums(lengths: np.ndarray) -> np.ndarray:
+    """Running sums, from 0 on."""
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """An Arrow array over the bytes between offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def distinct(data: np.ndarray, lengths: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct ones of spans that follow one another in ``data``, compared byte by byte, and the number of each span's."""
+    if not len(lengths):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+    coded = binary(data, sums(lengths)).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+
+
 def count_in(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """How many flags are set in each span."""
     sums = np.zeros(len(flags) + 1, np.int32)  # a row holds less than 2 ** 31 bytes

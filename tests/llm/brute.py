@@ -23,22 +23,23 @@ def counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), again, len(repeated)
 
 
-def fertility(text, pieces):
-    ids = [i for w in WORD.findall(text or "") for i in pieces.encode(w)]
+def fertility(text, pieces, pairs):
+    words = WORD.findall(text or "")
+    ids = [i for w in words for i in pieces.encode(w)]
     n = len(ids)
     if not n:
-        return 0, 0.0, 0.0, 0.0
-    chars = sum(map(len, WORD.findall(text)))
-    return n, chars / n, sum(map(pieces.IsByte, ids)) / n, -sum(c / n * math.log2(c / n) for c in collections.Counter(ids).values())
+        return 0, 0.0, 0.0, 0.0, 0.0
+    chars = sum(map(len, words))
+    return n, chars / n, chars / sum(len(pairs.encode_ordinary(" " + w)) for w in words), sum(map(pieces.IsByte, ids)) / n, -sum(c / n * math.log2(c / n) for c in collections.Counter(ids).values())
 
 
-def keeps(text, pieces, rules):
+def keeps(text, pieces, pairs, rules):
     n, _, _, _, repeated = counts(text)
     if n < rules.least_words or 100 * repeated > rules.most_repeated * n:
         return False
     band = rules.bands["latin"]
-    tokens, cpt, fallback, entropy = fertility(text, pieces)
-    return band.chars_per_token[0] <= cpt <= band.chars_per_token[1] and fallback <= band.fallback_share and entropy >= band.entropy_ratio * min(10.0, math.log2(max(2, tokens)))
+    tokens, cpt, cpp, fallback, entropy = fertility(text, pieces, pairs)
+    return band.chars_per_token[0] <= cpt <= band.chars_per_token[1] and band.chars_per_pair[0] <= cpp <= band.chars_per_pair[1] and fallback <= band.fallback_share and entropy >= band.entropy_ratio * min(10.0, math.log2(max(2, tokens)))
 
 
 def without_repeats(docs):
@@ -94,3 +95,114 @@ def mixed(docs, p, shares):
                     out.append((i, epoch, (epoch * total + at) // share.width))
                 at += t
     return sorted(out)
+
+
+def article(page, words):
+    """Main text of a well-formed page, told line by line; ``words`` holds the fixed lists of names."""
+    import xml.etree.ElementTree as ET
+
+    lines, marks, regions, tags = [], [], [0], [0]
+    buffer, linked = [], [0]
+
+    def end(state):
+        text = " ".join("".join(buffer).split())
+        if text:
+            lines.append({"text": text, "linked": linked[0], "tags": tags[0], **state})
+            tags[0] = 0
+        buffer.clear()
+        linked[0] = 0
+
+    def mark(el, in_main):
+        if el.tag in ("html", "body"):
+            return None
+        if el.tag in words.APART and not (el.tag == "header" and in_main):
+            return {"weight": 0.02, "readers": False, "named": True}
+        hint = False
+        for key in ("class", "id", "role"):
+            for name in el.get(key, "").split():
+                parts = set(re.split(r"[-_]", name))
+                if parts & words.LAYOUT:
+                    continue
+                if parts & words.MARKS:
+                    return {"weight": 0.02, "readers": bool(parts & words.READERS), "named": False}
+                hint = hint or bool(parts & words.HINTS)
+        return {"weight": 0.1, "readers": False, "named": False} if hint and not in_main and el.tag not in words.HEADINGS else None
+
+    def add(text, state):
+        if text and not state["dropped"]:
+            buffer.append(text)
+            linked[0] += len(text) * state["link"]
+
+    def walk(el, state):
+        tags[0] += 1
+        block = el.tag in words.BLOCKS
+        if block:
+            end(state)
+        own = dict(state)
+        if el.tag in words.DROPPED:
+            own["dropped"] = True
+        if not own["dropped"]:
+            found = mark(el, state["main"])
+            if found:
+                marks.append(found | {"holds": False})
+                own["marks"] = (*state["marks"], len(marks) - 1)
+            elif el.tag in words.MAIN or el.tag == "h1":
+                for m in own["marks"]:
+                    marks[m]["holds"] = True
+        if el.tag in words.CONTAINERS and not state["main"]:
+            regions[0] += 1
+            own["region"] = regions[0]
+            own["main"] = el.tag in words.MAIN and not own["dropped"] and not any(marks[m]["readers"] for m in own["marks"])
+        own["link"] = state["link"] or el.tag == "a"
+        add(el.text, own)
+        for child in el:
+            walk(child, own)
+            add(child.tail, own)
+        tags[0] += 1
+        if block:
+            end(own)
+
+    walk(ET.fromstring(page), {"dropped": False, "marks": (), "main": False, "region": 0, "link": False})
+    plain = lambda x: max(0, len(x["text"]) - x["linked"])
+    whole = sum(map(plain, lines))
+    for i, m in enumerate(marks):
+        held = [x for x in lines if i in x["marks"]]
+        chars = sum(map(plain, held))
+        most = len(held) >= 3 and chars > (0.95 * whole if m["readers"] else whole / 2)
+        m["void"] = not m["named"] and (most or (m["holds"] and not m["readers"] and 2 * chars > whole))
+    for x in lines:
+        force = [i for i in x["marks"] if not marks[i]["void"]]
+        x["group"] = force[0] if force else None
+        x["main"] = x["main"] and not force
+        x["ratio"] = plain(x) / max(1, x["tags"]) * math.prod(marks[i]["weight"] for i in force) * (2 if x["main"] else 1)
+    for x in lines:
+        same = [y for y in lines if y["group"] == x["group"]]
+        at = next(i for i, y in enumerate(same) if y is x)
+        weights = [(math.exp(-((i - at) ** 2) / 4.5) if abs(i - at) <= 3 else 0) for i in range(len(same))]
+        x["level"] = sum(w * y["ratio"] for w, y in zip(weights, same, strict=True)) / sum(weights)
+    levels = sorted(x["level"] for x in lines)
+    if not levels:
+        return ""
+    spread = lambda v: sum((a - sum(v) / len(v)) ** 2 for a in v)
+    border = levels[0]
+    if levels[-1] - levels[0] >= 1e-9:
+        cut = min(range(1, len(levels)), key=lambda i: spread(levels[:i]) + spread(levels[i:]))
+        border = (levels[cut - 1] + levels[cut]) / 2
+    size = lambda xs: sum(len(x["text"]) for x in xs)
+    has_article = 2 * size([x for x in lines if x["main"]]) >= size(lines)
+    key = lambda x: ("mark", x["group"]) if x["group"] is not None else ("region", x["region"])
+    groups = collections.defaultdict(list)
+    for x in lines:
+        groups[key(x)].append(x)
+    mean = {k: sum(x["level"] * len(x["text"]) for x in xs) / size(xs) for k, xs in groups.items()}
+    kept = set()
+    for k, xs in groups.items():
+        few = sum(min(x["linked"], len(x["text"])) for x in xs) / size(xs) < 1 / 3
+        if mean[k] >= border or (k[0] == "region" and few and (any(x["main"] for x in xs) or not has_article)):
+            kept.add(k)
+    bare = {k for k in groups if k[0] == "region"}
+    if len(groups) > 1 and max(mean.values()) <= 0:
+        kept &= bare
+    elif not bare and all(marks[k[1]]["named"] or sum(k[1] in x["marks"] for x in lines) < 3 for k in groups):
+        kept = set()
+    return "\n".join(x["text"] for x in lines if key(x) in kept)

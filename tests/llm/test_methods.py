@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 import sentencepiece
-from brute import components, counts, fertility, fingerprint, mixed, without_repeats
+from brute import article, components, counts, fertility, fingerprint, mixed, without_repeats
 from corpus import ODD, documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,16 +87,82 @@ def test_counts_match_plain_ones(texts):
     assert [tuple(int(found[c][i]) for c in quality_rules.COUNTS) for i in range(len(texts))] == [counts(t) for t in texts]
 
 
-def test_fertility_matches_plain_one():
+RULES = quality_rules.Rules(path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken"))
+
+
+def judged(texts):
     import pyarrow as pa
 
-    model = path("piece_bpe_32k.model")
+    cutter = quality_rules.Fertility(RULES)
+    return tx.per_block(pa.array(texts, pa.string()), lambda d, o: quality_rules.judge(d, o, RULES, cutter))
+
+
+def test_fertility_matches_plain_one(monkeypatch):
     texts = [prose(i, 60) for i in range(4)] + ["日本語 ▲ xx", ""]
-    cutter = quality_rules.Fertility(model)
-    found = tx.per_block(pa.array(texts), lambda d, o: quality_rules.judge(d, o, quality_rules.Rules(model), cutter))
-    plain = sentencepiece.SentencePieceProcessor(model_file=model)
-    for i, t in enumerate(texts):
-        assert [found[k][i] for k in ("tokens", *quality_rules.MEASURES)] == pytest.approx(list(fertility(t, plain)))
+    plain = sentencepiece.SentencePieceProcessor(model_file=RULES.vocabulary), quality_rules.byte_pairs(RULES.pairs)
+    for most in (200_000, 30):
+        monkeypatch.setattr(quality_rules.Fertility, "MOST", most)
+        found = judged(texts)
+        for i, t in enumerate(texts):
+            assert [found[k][i] for k in ("tokens", *quality_rules.MEASURES)] == pytest.approx(list(fertility(t, *plain)))
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_counts_tell_alike_hashes_apart():
+    """A polynomial modulo 2^64 can't tell the Thue-Morse word from its complement."""
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [f"{word}\n{other}\n{word}", f"{word} x y {other} x y {word} x z"] + [f"{word}\n{other}"] * 2
+    found = judged(texts)
+    assert [tuple(int(found[c][i]) for c in quality_rules.COUNTS) for i in range(len(texts))] == [counts(t) for t in texts]
+
+
+def test_windows_of_many_distinct_words(monkeypatch):
+    words = np.array([0, 1, 5 << 21, 0, 1, 5 << 21, 1, 0], np.int64)
+    assert quality_rules.repeated_windows(np.zeros(8, np.int64), words).tolist() == [True] * 6 + [False] * 2
+    assert not quality_rules.repeated_windows(np.array([0, 0, 0, 1, 1, 1, 1, 1]), words).any()
+
+
+#: Prose of several languages, each well over fifty words when told twice in other orders, and what spoils it.
+PROSE = {
+    "latin": "The ship left the harbour before sunrise and nobody on the quay could say which captain had given the order. A grey wind came down from the hills, carrying the smell of wet hay and of coal smoke, while two fishermen argued about the price of rope. Later that morning the postmaster found an unsigned letter on his desk, folded twice, written in a careful hand that he almost recognised from years before.",
+    "polish": "Statek opuścił port przed wschodem słońca i nikt na nabrzeżu nie potrafił powiedzieć, który kapitan wydał rozkaz. Szary wiatr schodził ze wzgórz, niosąc zapach mokrego siana i dymu, podczas gdy dwaj rybacy spierali się o cenę liny. Później tego ranka naczelnik poczty znalazł na biurku niepodpisany list, złożony na dwoje, napisany starannym pismem, które prawie rozpoznał sprzed wielu lat, choć nie umiał przypomnieć sobie nazwiska.",
+    "cyrillic": "Корабль вышел из гавани ещё до рассвета, и никто на набережной не мог сказать, какой капитан отдал приказ. С холмов дул серый ветер, он нёс запах мокрого сена и угольного дыма, а двое рыбаков спорили о цене верёвки. Позже тем же утром почтмейстер нашёл на своём столе письмо без подписи, сложенное вдвое и написанное аккуратным почерком, который он почти узнал, хотя прошло уже много лет с тех пор.",
+    "greek": "Το πλοίο έφυγε από το λιμάνι πριν από την ανατολή και κανείς στην προκυμαία δεν μπορούσε να πει ποιος καπετάνιος είχε δώσει τη διαταγή. Ένας γκρίζος άνεμος κατέβαινε από τους λόφους, φέρνοντας τη μυρωδιά του βρεγμένου άχυρου και του καπνού, ενώ δύο ψαράδες μάλωναν για την τιμή του σχοινιού. Αργότερα εκείνο το πρωί ο ταχυδρόμος βρήκε πάνω στο γραφείο του ένα ανυπόγραφο γράμμα, διπλωμένο στα δύο.",
+}
+
+
+def test_natural_prose_is_kept():
+    texts = [*PROSE.values(), "".join(f"今天早上第{i}艘船离开港口，码头上的人不知道是谁下的命令 " for i in range(60)).replace("第", " 第 ")]
+    found = judged(texts)
+    assert found["script"].tolist() == ["latin", "latin", "cyrillic", "greek", "han"]
+    assert not found["base_failed"][:4].any() and found["kept"][:4].all()
+
+
+def test_each_measure_rejects_something():
+    """Each measure alone puts some text outside its band."""
+    r = random.Random(4)
+    words = PROSE["latin"].split()
+    texts = {
+        "chars_per_token": [" ".join("".join(r.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(90))],
+        "chars_per_pair": [" ".join(w + r.choice(["###", "&&&", "%%%", "***"]) for w in (PROSE["latin"] + " " + PROSE["polish"]).split())],
+        "fallback_share": [" ".join(w + (chr(0x16A0 + r.randrange(70)) if i % 3 == 0 else "") for i, w in enumerate(words))],
+        "token_entropy": [" ".join(r.choice(["yes", "no", "or", "not", "so"]) for _ in range(400))],
+    }
+    found = judged([t for ts in texts.values() for t in ts])
+    band = RULES.bands["latin"]
+    reach = np.minimum(np.log2(found["tokens"]), 10)
+    outside = {
+        "chars_per_token": (found["chars_per_token"] < band.chars_per_token[0]) | (found["chars_per_token"] > band.chars_per_token[1]),
+        "chars_per_pair": (found["chars_per_pair"] < band.chars_per_pair[0]) | (found["chars_per_pair"] > band.chars_per_pair[1]),
+        "fallback_share": found["fallback_share"] > band.fallback_share,
+        "token_entropy": found["token_entropy"] < band.entropy_ratio * reach,
+    }
+    assert (found["script"] == "latin").all() and not found["kept"].any()
+    assert all(outside[m][i] for i, m in enumerate(texts))
 
 
 def test_lines_match_plain_version(spark):
@@ -238,6 +304,61 @@ def test_article_text(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == WANT
 
 
+LONG = [f"{c}word " * 82 + f"{c}end" for c in "abcdef"]
+TEXT = "".join(f"<p>{t}</p>" for t in LONG)
+READERS = "".join(f"<div class='comment'><p>{t} {t} {t}</p></div>" for t in LONG)
+PAGES = {
+    "a headline in the article's header": (f"<article><header class='entry-header'><h1>Head</h1></header>{TEXT}</article>", ["Head", *LONG]),
+    "headers by class in an article": (f"<nav><a href='x'>Menu</a></nav><article><div class='article-header'><h1>Head</h1></div><h2 class='section-header'>Part</h2>{TEXT}</article>", ["Head", "Part", *LONG]),
+    "adverts as paragraphs": (f"<article><h1>Head</h1><p class='advert'>Buy this now</p>{TEXT}<p class='ad sponsored'>Paid for</p></article>", ["Head", *LONG]),
+    "a layout's name around all": (f"<div class='sidebar-layout'><div class='x'><h1>Head</h1>{TEXT}</div><div class='sidebar'><p>Beside it</p></div></div>", ["Head", *LONG]),
+    "a layout's name around the article": (f"<div>A tag line</div><div class='sidebar-layout'><article><h1>Head</h1>{TEXT}</article><div class='sidebar'><p>Beside it</p></div></div>", ["Head", *LONG]),
+    "paragraphs beside containers": ("<p>Only text</p><nav><a href='x'>m</a></nav><div>a longer text that goes on for a while</div>", ["Only text", "a longer text that goes on for a while"]),
+    "more comments than article": (f"<article><h1>Head</h1>{TEXT}</article><section class='comments'>{READERS}</section>", ["Head", *LONG]),
+    "more comments than text": (f"<div class='post'><h1>Head</h1>{TEXT}</div><div id='comments'>{READERS}</div>", ["Head", *LONG]),
+    "a short article and a long notice": (f"<article><h1>Head</h1><p>Short.</p></article><div class='cookie-banner'>{'We use cookies. ' * 9}</div><footer>us</footer>", ["Head", "Short."]),
+    "a related part that is text": (f"<article><h1>Head</h1>{TEXT}<section class='related-work'><p>{LONG[0]}</p></section></article><div class='related'><a href='x'>One</a><a href='y'>Two</a></div>", ["Head", *LONG, LONG[0]]),
+    "unmarked lines outside the article": (f"<div class='x7'>Win a prize today</div><article><h1>Head</h1>{TEXT}</article><div class='x8'>Call us</div>", ["Head", *LONG]),
+    "a site's header and notice": (f"<header><h2>Site</h2></header><div class='notice'>Down on Sunday.</div><div class='content'><h1>Head</h1>{TEXT}</div>", ["Head", *LONG]),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_as_wanted(name):
+    page, want = PAGES[name]
+    page = f"<html><head><title>T</title></head><body>{page}</body></html>"
+    assert html_text.main_text(page).split("\n") == want == article(page, html_text).split("\n")
+
+
+def random_page(r):
+    names = ["", "", "", "post", "ad", "sidebar", "comments", "share-bar", "has-sidebar", "entry-header", "notice", "related"]
+
+    def element(depth):
+        tag = r.choice(["div", "section", "p", "article", "ul", "nav", "aside", "header", "h2", "blockquote", "p", "p"] if depth < 4 else ["p", "h3", "b"])
+        text = " ".join(r.choices(["word", "longer", "of", "&amp;", "sentences"], k=r.choice([1, 3, 8, 40, 90])))
+        if tag in ("p", "h2", "h3", "b"):
+            inner = r.choice([text, f"{text} <b>bold</b> {text}", f"<a href='x'>{text}</a>", f"{text}<script>no()</script>"])
+        else:
+            inner = r.choice(["", text]) + "".join(element(depth + 1) for _ in range(r.randint(1, 4)))
+        name = r.choice(names)
+        return f"<{tag}{f' class={chr(39)}{name}{chr(39)}' if name else ''}>{inner}</{tag}>"
+
+    return f"<html><body>{''.join(element(0) for _ in range(r.randint(1, 5)))}</body></html>"
+
+
+def test_random_pages_match_plain_version(monkeypatch):
+    pages = [random_page(random.Random(seed)) for seed in range(300)]
+    found = [html_text.main_text(p) for p in pages]
+    assert found == [article(p, html_text) for p in pages] and sum(map(bool, found)) > 200
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)
+    assert sum(html_text.main_text(p) != t for p, t in zip(pages, found, strict=True)) > 100, "the threshold decides"
+
+
+def test_long_and_unclosed_pages():
+    for page, want in (("<span>x" * 100_000 + "<p>y</p>" * 500, 501), ("<div>" * 50_000 + "x", 1), ("<a href=x>y" * 30_000, 1), ("<div>" + "<b>x<p>y" * 20_000, 20_001)):
+        assert html_text.main_text(page).count("\n") + 1 == want
+
+
 def test_smoothing_and_threshold():
     assert html_text.smoothed(np.full(9, 3.0), 1.5) == pytest.approx(np.full(9, 3.0))
     assert 2 < html_text.threshold(np.array([1.0, 2, 1.5, 90, 100])) < 90 and html_text.threshold(np.array([4.0])) == 4.0

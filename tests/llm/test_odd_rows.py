@@ -24,7 +24,7 @@ def none(spark):
 
 
 def test_rules(spark, odd, none):
-    rules = quality_rules.Rules(PIECES)
+    rules = quality_rules.Rules(PIECES, path("byte_bpe_multi_50k.tiktoken"))
     rows = quality_rules.quality_rules(odd, rules).collect()
     assert len(rows) == len(ODD) and all(r["base_failed"] and not r["kept"] for r in rows if r["n_words"] < 50)
     kept = quality_rules.quality_rules(odd, rules, keep=odd.columns)

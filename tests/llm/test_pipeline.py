@@ -17,9 +17,9 @@ def corpus():
 
 
 def plain():
-    pieces, rules = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model")), quality_rules.Rules()
+    pieces, pairs, rules = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model")), quality_rules.byte_pairs(path("byte_bpe_multi_50k.tiktoken")), quality_rules.Rules()
     source = {i: s for i, _, s in corpus()}
-    docs = without_repeats({i: t for i, t, _ in corpus() if keeps(t, pieces, rules)})
+    docs = without_repeats({i: t for i, t, _ in corpus() if keeps(t, pieces, pairs, rules)})
     prints = {i: fingerprint(t) for i, t in docs.items()}
     root = components(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
     docs = {i: t for i, t in docs.items() if root[i] == i}
