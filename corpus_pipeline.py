@@ -12,7 +12,7 @@ from simvane.session import table, written
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the quality rules."""
-    return quality_rules.quality_rules(docs, quality_rules.Rules(path("piece_bpe_32k.model")), keep=docs.columns)
+    return quality_rules.quality_rules(docs, quality_rules.Rules(path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken")), keep=docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
