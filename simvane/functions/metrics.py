@@ -6,6 +6,7 @@ distance when lower; scores are the raw values of the metric, never negated.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from enum import Enum
 
 import numpy as np
@@ -71,9 +72,41 @@ ALIASES = {
 _BY_NAME = {name: m for m, names in ALIASES.items() for name in (m.label, *names.split())}
 
 
-def parse(name: str | Metric, strict: bool = True) -> Metric:
-    """The metric of a name in any case; an unknown one raises, or without ``strict`` means L2."""
-    if isinstance(name, Metric):
+@dataclass(frozen=True)
+class Order:
+    """Minkowski's metric of any order above 0, for exact searches."""
+
+    p: float
+    higher_is_better = False
+
+    def __post_init__(self) -> None:
+        if not self.p > 0:
+            raise VectorIndexError("the order must be positive")
+
+    @property
+    def label(self) -> str:
+        return f"minkowski({self.p:g})"
+
+
+@dataclass(frozen=True)
+class Precision:
+    """Mahalanobis' metric under an inverse covariance, for exact searches: one value a component, or all rows one after another."""
+
+    values: tuple[float, ...]
+    higher_is_better = False
+    label = "mahalanobis(precision)"
+
+    def matrix(self, dim: int) -> np.ndarray:
+        if len(self.values) == dim:
+            return np.diag(self.values)
+        if len(self.values) == dim * dim:
+            return np.array(self.values).reshape(dim, dim)
+        raise VectorIndexError("the precision fits neither a diagonal nor a matrix of this dimension")
+
+
+def parse(name: str | Metric | Order | Precision, strict: bool = True) -> Metric | Order | Precision:
+    """The metric of a name in any case; an unknown one raises, or without ``strict`` means L2. Metrics stay themselves."""
+    if isinstance(name, Metric | Order | Precision):
         return name
     found = _BY_NAME.get(name.strip().lower())
     if found is None:
@@ -142,6 +175,10 @@ def mahalanobis_expr(a: Column, b: Column, precision: list[float]) -> Column:
 def score_expr(metric: str | Metric, a: Column, b: Column) -> Column:
     """The score of two arrays of one length, as a double."""
     m = parse(metric)
+    if isinstance(m, Order):
+        return minkowski_expr(a, b, m.p)
+    if isinstance(m, Precision):
+        return mahalanobis_expr(a, b, list(m.values))
     if m is Metric.L2:
         return total(_paired(a, b, lambda x, y: (x - y) * (x - y)))
     if m is Metric.DOT:
@@ -201,7 +238,12 @@ def score_matrix(metric: str | Metric, queries: np.ndarray, vectors: np.ndarray)
     return out
 
 
-def _distances(m: Metric, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _distances(m: Metric | Order | Precision, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if isinstance(m, Precision):
+        d = q - x
+        return np.sqrt(np.maximum(np.einsum("...i,...i", d @ m.matrix(d.shape[-1]), d), 0.0))
+    if isinstance(m, Order):
+        return (np.abs(q - x) ** m.p).sum(-1) ** (1 / m.p)
     if m is Metric.HELLINGER:
         return np.sqrt(0.5 * ((np.sqrt(np.abs(q)) - np.sqrt(np.abs(x))) ** 2).sum(-1))
     if m is Metric.JACCARD:

@@ -25,8 +25,9 @@ from simvane.session import cut, share_path
 
 #: Rows that one shard may hold; a larger one fails rather than exhaust a task.
 MOST_ROWS = 200_000
-#: Memory that a build may spend on distances it has met.
-ROW_BYTES = 256 << 20
+#: Up to this many rows a node's distances to the whole shard are computed at once and kept: fewer, larger steps
+#: cost less there. Beyond it a build computes the distances that it asks for alone.
+WHOLE_ROWS = 4096
 
 EDGES = "shard_id int, layer int, src long, neighbors array<long>"
 META = "shard_id int, m int, m0 int, ef_construction int, ef_search int, use_heuristic boolean, max_level int, entry_point long, num_nodes long"
@@ -43,28 +44,28 @@ class Graph:
     links: list[dict[int, list[int]]] = field(default_factory=list)
     entry: int | None = None
     rows: dict[int, np.ndarray] = field(default_factory=dict)
+    evaluated: int = 0  # distances computed so far
 
     def apart(self, x: np.ndarray | int, nodes: list[int] | np.ndarray) -> np.ndarray:
         """How far nodes lie from a vector, or from a node: lower is nearer, whichever way the metric points."""
         if isinstance(x, int):
-            return self._row(x)[nodes]
+            if len(self.vectors) > WHOLE_ROWS:
+                return self._far(self.vectors[x], self.vectors[nodes])
+            if x not in self.rows:
+                self.rows[x] = self._far(self.vectors[x], self.vectors)
+            return self.rows[x][nodes]
         return self._far(x, self.vectors[nodes])
 
     def _far(self, x: np.ndarray, others: np.ndarray) -> np.ndarray:
-        scores = score_matrix(self.metric, x[None], others)[0]
+        self.evaluated += len(others)
+        if self.metric is Metric.L2:
+            d = others - x
+            return np.einsum("ij,ij->i", d, d)
         if self.metric is Metric.DOT:
-            return -scores
+            return -(others @ x)
+        scores = score_matrix(self.metric, x[None], others)[0]
         return 1 - scores if self.metric is Metric.COSINE else scores
 
-    def _row(self, node: int) -> np.ndarray:
-        """A node's distances to the whole shard, kept while they fit in ROW_BYTES."""
-        found = self.rows.get(node)
-        if found is None:
-            if (len(self.rows) + 1) * 8 * len(self.vectors) > ROW_BYTES:
-                self.rows.clear()
-            found = self.rows[node] = self._far(self.vectors[node], self.vectors)
-        return found
-
     def neighbours(self, node: int, layer: int) -> list[int]:
         return self.links[layer].get(node, []) if layer < len(self.links) else []
 

@@ -192,7 +192,8 @@ def build(vectors: DataFrame, config: IvfPqConfig = IvfPqConfig(), metric: str |
     config.check_dimension(dimension(vectors))
     sample = vectors.select("id", "embedding")
     if config.max_train_points is not None:
-        sample = sample.orderBy(F.xxhash64("id", F.lit(config.seed)), "id").limit(config.max_train_points)
+        sample = cut(sample.orderBy(F.xxhash64("id", F.lit(config.seed)), "id").limit(config.max_train_points))
     coarse = kmeans.fit(sample, config.nlist, config.max_iters, config.tolerance, m, seed=config.seed).centroids
-    quantizer = pq.train(residuals(sample, coarse, m), config.m, config.ksub, config.max_iters, config.tolerance, m, config.seed)
+    # read once a step; the residuals are computed once
+    quantizer = pq.train(cut(residuals(sample, coarse, m)), config.m, config.ksub, config.max_iters, config.tolerance, m, config.seed)
     return IvfPqIndex(config, m, coarse, quantizer, postings(vectors, coarse, quantizer, m))

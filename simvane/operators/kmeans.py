@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simvane.errors import InvalidArgument
@@ -153,17 +153,33 @@ def step(vectors: DataFrame, centroids: np.ndarray, metric: str | Metric) -> Ste
     return Step(counts, sums, inertia)
 
 
+def draw(*salt: int) -> Column:
+    """An id's place in a random order that any run and any engine repeats: the MD5 of id and salt, joined by colons."""
+    return F.md5(F.concat_ws(":", F.col("id").cast("string"), *[F.lit(str(s)) for s in salt]))
+
+
+def even(*salt: int) -> Column:
+    """An id's number in (0, 1) from the first 52 bits of its draw."""
+    return (F.conv(F.substring(draw(*salt), 1, 13), 16, 10).cast("double") + 1) / F.lit(float((1 << 52) + 1))
+
+
 def random_rows(vectors: DataFrame, k: int, *salt: int) -> np.ndarray:
-    """k rows by the order of their ids' salted hash: a sample without replacement that any run repeats."""
-    rows = vectors.select("id", "embedding").orderBy(F.xxhash64("id", *[F.lit(s) for s in salt]), "id").limit(k).collect()
+    """k rows by the order of their draws: a sample without replacement."""
+    rows = vectors.select("id", "embedding").orderBy(draw(*salt), "id").limit(k).collect()
     return np.array([r["embedding"] for r in rows], np.float64)
 
 
+def first_rows(vectors: DataFrame, salts: list[tuple[int, ...]]) -> np.ndarray:
+    """For each salt the row of the least draw, all by one pass over the table."""
+    found = vectors.agg(*[F.min_by("embedding", F.struct(draw(*salt), F.col("id"))).alias(f"r{i}") for i, salt in enumerate(salts)]).first()
+    return np.array(list(found), np.float64)
+
+
 def plus_plus_rows(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
     """k-means++: each next row is drawn with a chance that follows its squared distance to the rows drawn before.
 
-    Every row draws an exponential time with that rate from a hash of its id; the earliest one is taken.
-    If all rows lie on drawn ones the choice is even.
+    Every row draws an exponential time with that rate; the earliest one is taken. If all rows lie on
+    drawn ones the choice is even.
     """
     chosen = random_rows(vectors, 1, seed)
     dim = chosen.shape[1]
@@ -175,11 +191,11 @@ def plus_plus_rows(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b["id"], b["embedding"], b["even"], pa.array(score_matrix("l2", matrix(b["embedding"], dim), sent.value).min(1))], ["id", "embedding", "even", "w"])
 
-        even = (F.xxhash64("id", F.lit(seed), F.lit(len(chosen))).bitwiseAND(F.lit((1 << 53) - 1)) + 1) / F.lit(float((1 << 53) + 1))
         kind = dict(vectors.dtypes)["embedding"]
-        weighed = vectors.select("id", "embedding", even.alias("even")).mapInArrow(distances, f"id long, embedding {kind}, even double, w double")
-        time = F.when(F.col("w") > 0, -F.log("even") / F.col("w"))
-        row = weighed.agg(F.sum("w").alias("total"), F.min_by("embedding", time).alias("drawn"), F.min_by("embedding", "even").alias("any")).first()
+        weighed = vectors.select("id", "embedding", even(seed, len(chosen)).alias("even")).mapInArrow(distances, f"id long, embedding {kind}, even double, w double")
+        time = F.when(F.col("w") > 0, F.struct((-F.log("even") / F.col("w")).alias("t"), F.col("id")))
+        row = weighed.agg(F.sum("w").alias("total"), F.min_by("embedding", time).alias("drawn"), F.min_by("embedding", F.struct("even", "id")).alias("any")).first()
+        sent.destroy()
         chosen = np.vstack([chosen, row["drawn"] if (row["total"] or 0) > 1e-6 else row["any"]])
     return chosen
 
@@ -188,8 +204,8 @@ def fit(vectors: DataFrame, k: int, max_iters: int = 30, tolerance: float = 1e-4
     """Lloyd's steps until no cluster's centroid moves by more than ``tolerance``, squared, or ``max_iters`` are done.
 
     ``init`` is "random", "k-means++" or a matrix of centroids. k beyond the number of rows counts as that
-    number; no rows or k = 0 give an empty result. A cluster without rows takes the row whose id's hash,
-    salted with step and cluster, is least, and doesn't count for the movement.
+    number; no rows or k = 0 give an empty result. A cluster without rows takes the row whose draw, salted
+    with step and cluster, is least, and doesn't count for the movement.
     """
     m = parse(metric)
     if isinstance(init, str) and init not in ("random", "k-means++"):
@@ -216,8 +232,11 @@ def lloyd(vectors: DataFrame, start: np.ndarray, max_iters: int, tolerance: floa
         now = step(vectors, centroids, metric)
         moved = now.moved(centroids)
         shifts = np.where(now.counts > 0, ((moved - centroids) ** 2).sum(-1), 0.0).max(1)
-        for g, c in zip(*np.nonzero((now.counts == 0) & open_[:, None]), strict=True):
-            moved[g, c] = random_rows(vectors, 1, seed, i, int(c))[0, g * d : (g + 1) * d]
+        empty = list(zip(*(x.tolist() for x in np.nonzero((now.counts == 0) & open_[:, None])), strict=True))
+        numbers = sorted({c for _, c in empty})
+        rows = dict(zip(numbers, first_rows(vectors, [(seed, i, c) for c in numbers]), strict=True)) if numbers else {}
+        for g, c in empty:
+            moved[g, c] = rows[c][g * d : (g + 1) * d]
         centroids[open_], inertia[open_] = moved[open_], now.inertia[open_]
         steps[open_] += 1
         open_ &= shifts > tolerance

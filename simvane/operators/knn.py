@@ -1,9 +1,10 @@
 """Exact k-nearest-neighbour joins of a query set with a vector table.
 
-Queries go out in blocks of bounded size to every task, which scores its vectors with NumPy and keeps
-k candidates a query; one shuffle of these candidates and a top-k a query give the result. Vectors
-never move. In the replicated form the vectors go out instead, if they are few enough, and the
-queries stay where they are.
+Queries that fit in one block go out to every task, which scores its vectors with NumPy, tile by tile, and
+keeps k candidates a query; one shuffle of these candidates and a top-k a query give the result. More
+queries than that are packed into blocks where they are, and meet the packed blocks of vectors in a product
+of blocks: vectors are scanned once, no query passes through the driver, and a task holds one block of each.
+In the replicated form the vectors go out instead, if they are few enough, and the queries stay.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ from pyspark.sql import functions as F
 
 from simvane.errors import DimensionMismatch, InvalidArgument
 from simvane.functions.metrics import Metric, parse, score_expr, score_matrix
-from simvane.operators.topk import RunningTopK, top_k
+from simvane.operators.topk import BlockTopK, top_k
 from simvane.operators.vectors import check_dimension, dimension, matrix
 from simvane.session import share_path
 
-#: Bytes of vectors, as doubles, that are sent to every task at once.
+#: Bytes of vectors, as doubles, that are sent to every task at once; blocks that meet one another have a quarter.
 SENT_BYTES = 64 << 20
 RESULT = "query_id long, id long, score double"
 
@@ -41,34 +42,91 @@ def query_blocks(queries: DataFrame, dim: int, most_bytes: int = SENT_BYTES) ->
         yield np.array(ids, np.int64), np.array(rows, np.float64)
 
 
-def _local(vectors: DataFrame, ids: np.ndarray, block: np.ndarray, k: int, metric: Metric, dim: int, per_shard: bool) -> DataFrame:
-    """Each task's k candidates of every query of a block; with ``per_shard`` also the shard of each."""
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, block))
+def _one_block(queries: DataFrame, dim: int, most_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, matrix) of the queries if they fit in one block."""
+    size = max(1, (most_bytes or SENT_BYTES) // (8 * dim))
+    rows = queries.select("query_id", "embedding").limit(size + 1).collect()
+    if len(rows) > size:
+        return None
+    return np.array([r["query_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64).reshape(-1, dim)
+
+
+def _candidates(metric: Metric, k: int, own_ids: np.ndarray, held: dict[int | None, BlockTopK]) -> Iterator[pa.RecordBatch]:
+    for shard, best in held.items():
+        i, found, score = best.columns()
+        columns, names = [pa.array(own_ids[i]), pa.array(found), pa.array(score)], ["query_id", "id", "score"]
+        if shard is not None:
+            columns.append(pa.array(np.full(len(i), shard, np.int32)))
+            names.append("shard_id")
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _meet(held: dict[int | None, BlockTopK], metric: Metric, k: int, q: np.ndarray, x: np.ndarray, ids: np.ndarray, shards: np.ndarray | None) -> None:
+    """Adds vectors to what is held for a block of queries, each shard's apart."""
+    for shard in np.unique(shards).tolist() if shards is not None else (None,):
+        mine = slice(None) if shard is None else shards == shard
+        xs, ns = x[mine], ids[mine]
+        best = held.setdefault(shard, BlockTopK(len(q), k, metric))
+        best.add(lambda a, b, xs=xs: score_matrix(metric, q[a], xs[b]), ns)
+
+
+def packed(df: DataFrame, key: str, dim: int, rows: int, shards: bool = False) -> DataFrame:
+    """A table's vectors in blocks of at most ``rows`` rows: (ids, x, shards) as bytes."""
 
     def run(batches):
-        own_ids, q = sent.value
-        best: dict[int | None, RunningTopK] = {}
+        ids, x, own = [], [], []
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (np.concatenate(ids), np.concatenate(x), np.concatenate(own))], ["ids", "x", "shards"])
+
+        held = 0
         for b in batches:
-            x, n = matrix(b["embedding"], dim), b["id"].to_numpy(zero_copy_only=False)
-            shards = b["shard_id"].to_numpy(zero_copy_only=False) if per_shard else None
-            for shard in np.unique(shards) if per_shard else (None,):
-                mine = slice(None) if shard is None else shards == shard
-                held = best.setdefault(None if shard is None else int(shard), RunningTopK(len(q), k, metric))
-                xs, ns = x[mine], n[mine]
-                for lo in range(0, len(xs), 4096):
-                    scores = score_matrix(metric, q, xs[lo : lo + 4096])
-                    for i in range(len(q)):
-                        held.add(i, scores[i], ns[lo : lo + 4096])
-        for shard, held in best.items():
-            i, found, score = held.columns()
-            columns, names = [pa.array(own_ids[i]), pa.array(found), pa.array(score)], ["query_id", "id", "score"]
-            if per_shard:
-                columns.append(pa.array(np.full(len(i), shard, np.int32)))
-                names.append("shard_id")
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    names = ["id", "embedding", *(["shard_id"] if per_shard else [])]
-    return vectors.select(*names).mapInArrow(run, RESULT + (", shard_id int" if per_shard else ""))
+            for lo in range(0, len(b), rows):
+                part = b.slice(lo, min(rows, len(b) - lo))
+                if held + len(part) > rows:
+                    yield block()
+                    ids, x, own, held = [], [], [], 0
+                ids.append(part[key].to_numpy(zero_copy_only=False).astype(np.int64))
+                x.append(matrix(part["embedding"], dim))
+                own.append(part["shard_id"].to_numpy(zero_copy_only=False).astype(np.int32) if shards else np.zeros(0, np.int32))
+                held += len(part)
+        if held:
+            yield block()
+
+    return df.select(key, "embedding", *(["shard_id"] if shards else [])).mapInArrow(run, "ids binary, x binary, shards binary")
+
+
+def _local(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric, dim: int, per_shard: bool) -> DataFrame | None:
+    """Candidates of every query: a task's k best; with ``per_shard`` each shard's, and its number. None without queries."""
+    schema = RESULT + (", shard_id int" if per_shard else "")
+    one = _one_block(queries, dim)
+    if one is not None:
+        if not len(one[0]):
+            return None
+        sent = vectors.sparkSession.sparkContext.broadcast(one)
+
+        def run(batches):
+            own_ids, q = sent.value
+            held: dict[int | None, BlockTopK] = {}
+            for b in batches:
+                _meet(held, metric, k, q, matrix(b["embedding"], dim), b["id"].to_numpy(zero_copy_only=False), b["shard_id"].to_numpy(zero_copy_only=False) if per_shard else None)
+            yield from _candidates(metric, k, own_ids, held)
+
+        return vectors.select("id", "embedding", *(["shard_id"] if per_shard else [])).mapInArrow(run, schema)
+    rows = max(1, SENT_BYTES // (32 * dim))
+    mine = packed(vectors, "id", dim, rows, per_shard)
+    others = packed(queries, "query_id", dim, rows).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+
+    def meet(batches):
+        for b in batches:
+            for ids, x, shards, q_ids, q_x in zip(*(b[c] for c in ("ids", "x", "shards", "q_ids", "q_x")), strict=True):
+                flat = [np.frombuffer(v.as_buffer(), t) for v, t in ((ids, np.int64), (x, np.float64), (q_ids, np.int64), (q_x, np.float64))]
+                held: dict[int | None, BlockTopK] = {}
+                own = np.frombuffer(shards.as_buffer(), np.int32) if per_shard else None
+                _meet(held, metric, k, flat[3].reshape(-1, dim), flat[1].reshape(-1, dim), flat[0], own)
+                yield from _candidates(metric, k, flat[2], held)
+
+    return mine.crossJoin(others).mapInArrow(meet, schema)
 
 
 def _empty(vectors: DataFrame, extra: str = "") -> DataFrame:
@@ -95,12 +153,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "
         return _replicated(vectors, queries, k, m, dim)
     if strategy != "sharded":
         raise InvalidArgument(f"unknown strategy {strategy!r}")
-    parts = [_local(vectors, ids, block, k, m, dim, False) for ids, block in query_blocks(queries, dim)]
-    if not parts:
+    found = _local(vectors, queries, k, m, dim, False)
+    if found is None:
         return _empty(vectors)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     return top_k(found, k, m).select("query_id", "rank", "id", "score")
 
 
@@ -115,14 +170,11 @@ def _replicated(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric,
         ids, x = sent.value
         for b in batches:
             q, own = matrix(b["embedding"], dim), b["query_id"].to_numpy(zero_copy_only=False)
-            for lo in range(0, len(q), 64):
-                held = RunningTopK(min(64, len(q) - lo), k, metric)
-                for at in range(0, len(x), 4096):
-                    scores = score_matrix(metric, q[lo : lo + 64], x[at : at + 4096])
-                    for i, row in enumerate(scores):
-                        held.add(i, row, ids[at : at + 4096])
-                i, found, score = held.columns()
-                yield pa.RecordBatch.from_arrays([pa.array(own[lo:][i]), pa.array(found), pa.array(score)], ["query_id", "id", "score"])
+            for lo in range(0, len(q), 1024):
+                some = q[lo : lo + 1024]
+                held: dict[int | None, BlockTopK] = {}
+                _meet(held, metric, k, some, x, ids, None)
+                yield from _candidates(metric, k, own[lo : lo + 1024], held)
 
     return top_k(queries.select("query_id", "embedding").mapInArrow(run, RESULT), k, metric).select("query_id", "rank", "id", "score")
 
@@ -132,12 +184,9 @@ def local_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Me
     m, dim = parse(metric), dimension(vectors)
     check_dimension(dim, queries)
     share_path(vectors.sparkSession)
-    parts = [_local(vectors, ids, block, k, m, dim, True) for ids, block in query_blocks(queries, dim)]
-    if not parts or k == 0:
+    found = _local(vectors, queries, k, m, dim, True) if k else None
+    if found is None:
         return _empty(vectors, ", shard_id int").select("query_id", "shard_id", "rank", "id", "score")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     return top_k(found, k, m, by=("query_id", "shard_id")).select("query_id", "shard_id", "rank", "id", "score")
 
 

@@ -66,11 +66,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a Parquet table in the shared checkpoint folder, for results that are read more than once or in part."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table in the shared checkpoint folder, for results that are read more than once or in part.
+
+    ``by`` names columns by whose values the files are laid out; they come last in what is read.
+    """
     path = f"{checkpoint_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,8 @@
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -65,3 +69,15 @@ def test_registered_cluster_search_needs_every_shard(spark, monkeypatch):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_whole_vectors_under_a_full_precision_matrix(spark):
     test_query_matches_its_sql(spark, "mahalanobis_whole")
+
+
+def test_the_rest_stands_without_the_corpus_operators(tmp_path):
+    root = Path(__spark_entry__.__file__).resolve().parent
+    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", "*.parquet")
+    shutil.copytree(root, tmp_path / "rest", ignore=skip)
+    code = "import sys; sys.path.insert(0, '.'); import __spark_entry__ as e; names = set(e.queries()); assert 'knn_l2' in names and not any(n.startswith('op') or n == 'pipeline' for n in names); assert set(e.oracle_sql()) <= names; import simvane.cli"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "rest", env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    for path in (tmp_path / "rest" / "simvane").rglob("*.py"):
+        assert "simvane.llm" not in path.read_text(), path

@@ -3,7 +3,7 @@ import pytest
 from helpers import ids, queries, vectors, wave
 from pyspark.sql import functions as F
 
-from simvane.config import HnswConfig
+from simvane.config import HnswConfig, IvfPqConfig
 from simvane.errors import EmptyIndex, InvalidArgument, InvalidConfig, Unavailable, VectorIndexError
 from simvane.operators import cluster, hnsw, knn, recall
 
@@ -31,6 +31,25 @@ def test_graph_rules():
             HnswConfig(**bad)
 
 
+def test_insertions_ask_for_few_distances(monkeypatch):
+    x = np.random.default_rng(1).normal(size=(1200, 8))
+    monkeypatch.setattr(hnsw, "WHOLE_ROWS", 0)
+    asked = {}
+    for n in (300, 1200):
+        graph = hnsw.build_graph(x[:n], "l2", HnswConfig(6, ef_construction=20))
+        last, before = n - 100, graph.evaluated
+        again = hnsw.build_graph(x[:last], "l2", HnswConfig(6, ef_construction=20))
+        asked[n] = (before - again.evaluated) / 100
+    assert asked[1200] < 1.5 * asked[300], "an insertion's distances don't grow with the shard"
+    monkeypatch.setattr(hnsw, "WHOLE_ROWS", 4096)
+    assert hnsw.build_graph(x[:300], "l2", HnswConfig(6, ef_construction=20)).links == hnsw_links(x[:300], monkeypatch)
+
+
+def hnsw_links(x, monkeypatch):
+    monkeypatch.setattr(hnsw, "WHOLE_ROWS", 0)
+    return hnsw.build_graph(x, "l2", HnswConfig(6, ef_construction=20)).links
+
+
 def test_sharded_table(spark, tmp_path):
     x = wave(90, 8, 7, 13, 3, 97, 0.01)
     v, q = vectors(spark, x, 3), queries(spark, x[::30])
@@ -51,6 +70,30 @@ def three_shards(spark):
     return spark.createDataFrame(rows, "shard_id int, id long, embedding array<float>")
 
 
+def test_a_shard_that_fails_while_it_runs(spark):
+    index = cluster.ShardedIndex.build(three_shards(spark), "flat")
+    own = index.shards[2].run
+
+    def breaks(queries, k, parameter):
+        return own(queries, k, parameter).withColumn("score", F.raise_error(F.lit("lost executor")).cast("double"))
+
+    index.shards[2].run, index.shards[1].ready = breaks, lambda: 1 / 0
+    found = index.search(queries(spark, [(1, 0.1, 0, 0)]), 6)
+    assert (found.total_shards, found.successful_shards) == (3, 2) and "lost executor" in found.status[2][2]
+    assert found.rows.count() == 4 and found.latency_ms > 0 and index.ping() == {0: True, 1: False, 2: True}
+    assert index.stats()[0] == (0, 2, 4, "Flat")
+    with pytest.raises(Unavailable):
+        found.complete()
+
+
+def test_inverted_files_by_shard(spark):
+    x = wave(120, 8, 7, 13, 3, 97, 0.01)
+    v = vectors(spark, x).withColumn("shard_id", F.col("id").cast("int") % 3)
+    index = cluster.ShardedIndex.build(v, "ivf_pq", config=IvfPqConfig(4, 4, 4, 16, 4))
+    found = index.search(queries(spark, x[:2]), 5, 4).complete()
+    assert found.count() == 10 and {r[3] for r in index.stats()} == {"IVF-PQ"}
+
+
 @pytest.mark.parametrize("kind", ["flat", "hnsw"])
 def test_scatter_and_gather(spark, kind):
     index = cluster.ShardedIndex.build(three_shards(spark), kind)
