@@ -527,7 +527,7 @@ def embedding_groups(embeddings: DataFrame, p: Parameters = Parameters()) -> Dat
         roots, _ = joined_up()
         counts = cut(link_counts(nodes, roots, width, p))
     joined = nodes.join(roots, "node", "left").join(counts, "node", "left").select("v", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component"))
+    least = cut(joined.groupBy("root").agg(F.min("least").alias("component")))  # the join alone deals by root, so that Spark may split a giant component
     classes = joined.join(least, "root").select("v", "n_links", "component")
     out = rows.join(classes, "v", "left")
     component = F.coalesce("component", "vec_id")

@@ -209,7 +209,9 @@ def _classes(own: DataFrame, least: Column, p: Parameters) -> DataFrame:
     nodes = cut(own.groupBy("fp").agg(F.min(least).alias("least")))
     links = connected_components(close_edges(nodes, p))
     joined = nodes.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return joined.join(joined.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", F.col("first").alias("least"))
+    # written, so that the join is the only one to deal by root: Spark may split a giant component's rows
+    first = cut(joined.groupBy("root").agg(F.min("least").alias("first")))
+    return joined.join(first, "root").select("fp", F.col("first").alias("least"))
 
 
 def simhash_groups(documents: DataFrame, p: Parameters = Parameters()) -> DataFrame:

@@ -206,3 +206,114 @@ def article(page, words):
     elif not bare and all(marks[k[1]]["named"] or sum(k[1] in x["marks"] for x in lines) < 3 for k in groups):
         kept = set()
     return "\n".join(x["text"] for x in lines if key(x) in kept)
+
+
+MASK = (1 << 64) - 1
+
+
+def span_hash(raw):
+    import numpy as np
+
+    from simvane.llm import text as tx
+
+    return int(tx.SpanHash(np.frombuffer(raw, np.uint8))(np.array([0]), np.array([len(raw)]))[0])
+
+
+def mix(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & MASK
+    return h ^ (h >> 31)
+
+
+def quality_score(text, model, bits):
+    """A classifier's score, n-gram by n-gram."""
+    step = 0xD6E8FEB86659FD93
+    tokens = re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^\x20\x09-\x0d]", (text or "").encode())
+    shapes = []
+    for i, t in enumerate(tokens):
+        if not re.match(rb"[A-Za-z0-9\x80-\xff]", t):
+            shape = 100 + t[0]
+        elif i and tokens[i - 1] == t:
+            shape = 6
+        elif re.search(rb"[a-z]", t):
+            shape = 3 if t[:1].isupper() else 4
+        elif len(re.findall(rb"[A-Z]", t)) > 1:
+            shape = 2
+        else:
+            shape = 1 if t[:1].isdigit() else 5
+        shapes.append(shape)
+    hashes = [span_hash(t) for t in tokens]
+    keys = set(hashes)
+    keys |= {mix((a * step + b) & MASK) for a, b in zip(hashes, hashes[1:])}
+    two = [mix((a * step + b) & MASK) for a, b in zip(shapes, shapes[1:])]
+    three = [mix((a * step + b) & MASK) for a, b in zip(two, shapes[2:])]
+    for kind, found in ((1, [mix(s) for s in shapes]), (2, two), (3, three)):
+        keys |= {mix(k + kind & MASK) for k in found}
+    buckets = {k >> (64 - bits) for k in keys}
+    if not buckets:
+        return model.prior
+    norm = math.sqrt(sum(model.ratio[b] ** 2 for b in buckets)) or 1.0
+    margin = sum(model.ratio[b] * model.weights[b] for b in buckets) / norm + model.bias
+    return 1 / (1 + math.exp(-max(-40, min(40, model.slope * margin + model.shift))))
+
+
+def toxicity_score(text, model, p):
+    """A text's mean of word vectors, word by word and n-gram by n-gram."""
+    words = collections.Counter(re.findall(rb"[A-Za-z0-9\x80-\xff@$*']+", (text or "").lower().encode()))
+    if not words:
+        return model.prior
+    total = sum(math.log1p(n) for n in words.values()) + p.blank
+    logit = model.bias
+    for word, n in words.items():
+        letters = word.decode()
+        keys = [span_hash(word) + 1]
+        for k in range(p.grams[0], p.grams[1] + 1):
+            for i in range(len(letters) - k + 1):
+                ends = (i == 0) + 2 * (i + k == len(letters))
+                keys.append(span_hash(letters[i : i + k].encode()) + ends * 0x2545F4914F6CDD1D)
+        gains = [model.gain[mix(key & MASK) >> (64 - p.bits)] for key in keys]
+        logit += math.log1p(n) / total * sum(gains) / len(gains)
+    return float(model.curve(logit))
+
+
+class Languages:
+    """Word-first backoff over strings: learns from (text, lang) rows."""
+
+    def __init__(self, rows, p):
+        self.p, self.langs = p, sorted({s for _, s in rows})
+        found = collections.defaultdict(collections.Counter)  # (n, string) -> language -> occurrences
+        for text, lang in rows:
+            for word in self.words(text):
+                found[0, word][lang] += 1
+                for n in range(1, p.longest + 1):
+                    for i in range(len(word) - n + 1):
+                        found[n, word[i : i + n]][lang] += 1
+        known = {k: c for k, c in found.items() if sum(c.values()) >= p.least_count}
+        totals = {n: {s: sum(c[s] + p.smoothing for k, c in known.items() if k[0] == n) for s in self.langs} for n in range(p.longest + 1)}
+        self.logs = {k: [math.log((c[s] + p.smoothing) / totals[k[0]][s]) for s in self.langs] for k, c in known.items()}
+        self.floor = [math.log(p.smoothing / totals[1][s]) if totals[1][s] else 0.0 for s in self.langs]
+
+    @staticmethod
+    def words(text):
+        return [w.decode() for w in re.findall(rb"[A-Za-z\x80-\xff]+", (text or "").lower().encode())]
+
+    def word(self, word):
+        if (0, word) in self.logs:
+            return self.logs[0, word]
+        n = min(self.p.longest, len(word))
+        open_, parts = set(range(len(word) - n + 1)), []
+        while n:
+            parts += [self.logs[n, word[i : i + n]] for i in sorted(open_) if (n, word[i : i + n]) in self.logs]
+            open_ = {j for i in open_ if (n, word[i : i + n]) not in self.logs for j in ((i, i + 1) if n > 1 else (i,))}
+            n -= 1
+        parts += [self.floor] * len(open_)
+        return [sum(x) / len(parts) for x in zip(*parts, strict=True)]
+
+    def predict(self, text):
+        words = self.words(text)
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0
+        mean = [sum(x) / len(words) for x in zip(*map(self.word, words), strict=True)]
+        z = [math.exp((m - max(mean)) * min(len(words), self.p.evidence)) for m in mean]
+        best = max(range(len(z)), key=lambda i: (z[i], -i))
+        return self.langs[best], z[best] / sum(z)

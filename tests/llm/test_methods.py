@@ -3,13 +3,13 @@ import random
 import numpy as np
 import pytest
 import sentencepiece
-from brute import article, components, counts, fertility, fingerprint, mixed, without_repeats
+from brute import Languages, article, components, counts, fertility, fingerprint, mixed, quality_score, toxicity_score, without_repeats
 from corpus import ODD, documents, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from simvane.llm import bpe, components as cc, embedding_dedup, html_text, language_id, line_dedup, mixing, nbsvm, quality_rules, simhash, toxicity
+from simvane.llm import bpe, components as cc, embedding_dedup, html_text, labelled, language_id, line_dedup, mixing, nbsvm, quality_rules, simhash, toxicity
 from simvane.llm import text as tx
 from simvane.llm.vocabularies import path
 
@@ -276,6 +276,72 @@ def test_quality_and_toxicity_hold_out(spark):
     assert low < 0 < high
 
 
+SCORED = [prose(7, 50), "Über stupid ### STUPID Idiot idiot 12 a,b\n\nb  é日本 x'y", "", "!!! ...", "one", prose(3, 9) + " moron" * 5, "naïve " * 30, (prose(1, 400) + "\n") * 300]
+
+
+def test_scores_match_plain_ones(spark):
+    """Both classifiers' vectorised scores against loops over words and n-grams, one text of over half a megabyte included."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows, marks = labelled_corpus()
+    truth = {i: (q, t) for i, q, t in marks}
+    assert len(SCORED[-1]) > tx.BLOCK_BYTES
+    texts = pa.array([*SCORED, None])
+    p = nbsvm.Parameters(bits=14)
+    sampled = [(i, truth[i][0], nbsvm.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), p.bits)[1].astype(np.int32).tobytes()) for i, t in rows]
+    model = nbsvm.fit(sampled, {0: 60, 1: 180}, p)
+    found = tx.per_block(texts, lambda d, o: {"s": model.scores(d, o, p.bits)})["s"]
+    assert found.tolist() == pytest.approx([quality_score(t, model, p.bits) for t in texts.to_pylist()], abs=1e-9)
+    assert found.max() > 0.9 > 0.1 > found[:-2].min()
+    p = toxicity.Parameters(bits=14, epochs=3)
+    bags = [toxicity.text_bag(np.frombuffer(t.lower().encode(), np.uint8), p) for _, t in rows]
+    model = toxicity.fit([(i, truth[i][1], x.tobytes() + v.tobytes()) for (i, _), (x, v) in zip(rows, bags, strict=True)], {0: 160, 1: 80}, p)
+    found = tx.per_block(pc.utf8_lower(texts), lambda d, o: {"s": model.scores(d, o, p)})["s"]
+    assert found.tolist() == pytest.approx([toxicity_score(t, model, p) for t in texts.to_pylist()], abs=1e-9)
+    for (_, t), (x, v) in list(zip(rows, bags, strict=True))[:5]:
+        logit = float(v @ model.gain[x]) + model.bias
+        assert model.curve(np.array([logit]))[0] == pytest.approx(toxicity_score(t, model, p), abs=1e-6), "bags of the fit and of the scores agree"
+
+
+def test_samples_keep_to_their_bytes(spark):
+    rows = [(i, "w" * (10 + i)) for i in range(40)]
+    sample = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, y int")
+    featurise = lambda texts: [t.as_py().encode() for t in texts]
+    whole = labelled.sampled_features(documents(spark, rows), sample, featurise, 1 << 20)
+    assert [(i, y, len(f)) for i, y, f in whole] == [(i, i % 2, 10 + i) for i in range(40)]
+    some = labelled.sampled_features(documents(spark, rows), sample, featurise, 400)
+    assert {x[:2] for x in some} < {x[:2] for x in whole}
+    assert all(0 < sum(len(f) for _, y, f in some if y == c) <= 200 for c in (0, 1))
+    least = labelled.sampled_features(documents(spark, rows), sample, featurise, 2)
+    assert sorted(y for _, y, _ in least) == [0, 1], "one row of each class stays, however long"
+
+
+def test_ties_of_ids_and_languages(spark):
+    rows, marks = labelled_corpus()
+    labels = spark.createDataFrame([*marks, *marks, (0, 1, 1), (0, 0, 0)], "doc_id long, quality int, toxic int")
+    sample, sizes = labelled.class_sample(labels, "toxic", 20)
+    assert sample.count() == 40 and sum(sizes.values()) == 240 and sample.where("doc_id = 0 AND y = 0").isEmpty()
+    same = spark.createDataFrame([(i, "wort und satz", lang, "s", 1) for i, lang in enumerate(["nl", "de"] * 20)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["lang_pred"], round(r["score"], 9)) for r in language_id.language_id(same, language_id.Parameters(sample_rows=10)).collect()}
+    assert got == {("de", 0.5)}, "of equal languages the first wins"
+
+
+def test_languages_match_plain_version(spark):
+    german = "der die und nicht haus strasse garten wasser schnell öffnen über".split()
+    rows = [(i, prose(i, 30), "en") for i in range(30)] + [(100 + i, " ".join(random.Random(i).choices(german, k=30)), "de") for i in range(30)]
+    asked = [(500, "waters gardening peoples"), (501, "strassen und gaertner übers"), (502, "12 ?"), (503, None), (504, "日本語 x"), (505, "q"), (506, prose(4, 5000))]
+    df = spark.createDataFrame(rows + [(i, t, None) for i, t in asked], "doc_id long, text string, lang string")
+    p = language_id.Parameters()
+    import zlib
+
+    plain = Languages([(t, s) for i, t, s in rows if zlib.crc32(str(i).encode()) % 5], p)
+    for r in language_id.language_id(df, p).collect():
+        text = next(t for i, t, *_ in [*rows, *asked] if i == r["doc_id"])
+        lang, score = plain.predict(text)
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score, abs=1e-9)), r["doc_id"]
+
+
 def test_misspelt_words_share_grams():
     p = toxicity.Parameters()
     own, other = ({*toxicity.text_bag(np.frombuffer(w, np.uint8), p)[0].tolist()} for w in (b"stupid", b"stuupid"))

@@ -1,7 +1,7 @@
 import numpy as np
 import sentencepiece
 from brute import components, fingerprint, keeps, mixed, without_repeats
-from corpus import prose
+from corpus import CLASHES, ODD, documents, prose
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -43,3 +43,23 @@ def test_stages_return_document_columns(spark, tmp_path):
         assert stage(spark, df, str(tmp_path)).columns == df.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.where("false"), str(tmp_path)).count() == 0
+
+
+def test_stages_on_rows_that_break_things(spark, tmp_path):
+    long = (90, (prose(5, 3000) + " ") * 60)
+    assert len(long[1]) > 1 << 20
+    rows = [*ODD, long, (91, prose(91, 90)), (91, prose(91, 90)), (92, prose(91, 90)), (None, prose(93, 90))]
+    docs = documents(spark, rows, clashes=True)
+    kept = corpus_pipeline.rules_stage(spark, docs, "").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, i) for i in (6, 6, 6, 91, 91, 92)] + [(True, 0)]
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and all(r[c] == "mine" for r in out.collect() for c in CLASHES), name
+    assert corpus_pipeline.lines_stage(spark, docs, "").count() == len(rows)
+    one = corpus_pipeline.near_duplicates_stage(spark, docs, "").collect()
+    assert [r["doc_id"] for r in one].count(91) == 1 and [r["doc_id"] for r in one].count(92) == 0 and [r["doc_id"] for r in one].count(90) == 1
+    dealt = corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"]) for r in dealt} == {tuple(r) for r in rows}
+    coded = corpus_pipeline.tokens_stage(spark, docs, "")
+    assert coded.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"] and coded.count() == len(rows)
+    assert all(r["n_tokens"] == 0 and r["decoded"] == "" for r in coded.collect() if r["doc_id"] in (1, 2, 3))
