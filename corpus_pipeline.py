@@ -49,7 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over documents, each one's result written to the shared folder and read again."""
+    """All stages in turn over documents, each one's result written to the shared folder and read again.
+
+    Documents with a null, empty or short text go with the rules; a null id stays null, and of several such rows
+    each is a document of its own unless their texts are alike. Repeated rows count as copies: one stays. Of
+    documents that tie in a group the smallest id stays. Columns beside those of documents pass through up to the
+    mixing; no row gives no row.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
