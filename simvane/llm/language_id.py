@@ -29,7 +29,7 @@ UNDETERMINED = "und"
 class Parameters:
     """``sample_rows`` bounds the texts that are learnt from, shared out evenly to the languages.
 
-    A word or n-gram is known from ``least_count`` occurrences on. ``evidence`` words' worth of mean
+    A word or n-gram is known of a language from ``least_count`` occurrences in its texts on. ``evidence`` words' worth of mean
     score make up the posterior, since the words of one text aren't independent.
     """
 

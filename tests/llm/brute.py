@@ -288,7 +288,8 @@ class Languages:
                 for n in range(1, p.longest + 1):
                     for i in range(len(word) - n + 1):
                         found[n, word[i : i + n]][lang] += 1
-        known = {k: c for k, c in found.items() if sum(c.values()) >= p.least_count}
+        enough = {k: collections.Counter({s: n for s, n in c.items() if n >= p.least_count}) for k, c in found.items()}
+        known = {k: c for k, c in enough.items() if c}
         totals = {n: {s: sum(c[s] + p.smoothing for k, c in known.items() if k[0] == n) for s in self.langs} for n in range(p.longest + 1)}
         self.logs = {k: [math.log((c[s] + p.smoothing) / totals[k[0]][s]) for s in self.langs] for k, c in known.items()}
         self.floor = [math.log(p.smoothing / totals[1][s]) if totals[1][s] else 0.0 for s in self.langs]

@@ -276,7 +276,7 @@ def test_quality_and_toxicity_hold_out(spark):
     assert low < 0 < high
 
 
-SCORED = [prose(7, 50), "Über stupid ### STUPID Idiot idiot 12 a,b\n\nb  é日本 x'y", "", "!!! ...", "one", prose(3, 9) + " moron" * 5, "naïve " * 30, (prose(1, 400) + "\n") * 300]
+SCORED = [prose(7, 50), prose(8, 60).replace(" ", "### "), "Über stupid ### STUPID Idiot idiot 12 a,b\n\nb  é日本 x'y", "", "!!! ...", "one", prose(3, 9) + " moron" * 5, "naïve " * 30, (prose(1, 400) + "\n") * 300]
 
 
 def test_scores_match_plain_ones(spark):
