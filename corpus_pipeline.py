@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,13 @@ from simvane.llm.vocabularies import path
 from simvane.session import table, written
 
 
+def set_apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], *added: str) -> DataFrame:
+    """What a stage returns, in the columns of ``docs``; those named like columns that the operator adds pass it under other names."""
+    own = [c for c in docs.columns if c in added]
+    out = stage(docs.withColumnsRenamed({c: f"__sv_kept_{c}" for c in own})).drop(*own)
+    return out.withColumnsRenamed({f"__sv_kept_{c}": c for c in own}).select(*docs.columns)
+
+
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the quality rules."""
     return quality_rules.quality_rules(docs, quality_rules.Rules(path("piece_bpe_32k.model"), path("byte_bpe_multi_50k.tiktoken")), keep=docs.columns)
@@ -17,7 +26,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated three-line passages out of the texts; n_chars follows the text."""
-    cleaned = line_dedup.line_dedup(docs)
+    cleaned = set_apart(docs, line_dedup.line_dedup, "n_lines", "n_removed")
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -28,7 +37,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources until the sources have their weights; none is left out."""
-    return mixing.mix(docs).select(*docs.columns)
+    return set_apart(docs, mixing.mix, "epoch", "block")
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
