@@ -42,32 +42,45 @@ def query_blocks(queries: DataFrame, dim: int, most_bytes: int = SENT_BYTES) ->
         yield np.array(ids, np.int64), np.array(rows, np.float64)
 
 
-def _one_block(queries: DataFrame, dim: int, most_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
-    """(ids, matrix) of the queries if they fit in one block."""
-    size = max(1, (most_bytes or SENT_BYTES) // (8 * dim))
-    rows = queries.select("query_id", "embedding").limit(size + 1).collect()
-    if len(rows) > size:
-        return None
-    return np.array([r["query_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64).reshape(-1, dim)
-
-
-def _candidates(metric: Metric, k: int, own_ids: np.ndarray, held: dict[int | None, BlockTopK]) -> Iterator[pa.RecordBatch]:
-    for shard, best in held.items():
-        i, found, score = best.columns()
-        columns, names = [pa.array(own_ids[i]), pa.array(found), pa.array(score)], ["query_id", "id", "score"]
-        if shard is not None:
-            columns.append(pa.array(np.full(len(i), shard, np.int32)))
-            names.append("shard_id")
-        yield pa.RecordBatch.from_arrays(columns, names)
+_Block = tuple[np.ndarray, np.ndarray, np.ndarray | None]  # query ids, vectors, and the shards that they ask
 
 
-def _meet(held: dict[int | None, BlockTopK], metric: Metric, k: int, q: np.ndarray, x: np.ndarray, ids: np.ndarray, shards: np.ndarray | None) -> None:
-    """Adds vectors to what is held for a block of queries, each shard's apart."""
-    for shard in np.unique(shards).tolist() if shards is not None else (None,):
-        mine = slice(None) if shard is None else shards == shard
-        xs, ns = x[mine], ids[mine]
-        best = held.setdefault(shard, BlockTopK(len(q), k, metric))
-        best.add(lambda a, b, xs=xs: score_matrix(metric, q[a], xs[b]), ns)
+def _one_block(queries: DataFrame, dim: int, own_shards: bool) -> _Block | None:
+    """The queries if they fit in one block."""
+    size = max(1, SENT_BYTES // (8 * dim))
+    rows = queries.select("query_id", "embedding", *(["shard_id"] if own_shards else [])).limit(size + 1).collect()
+    if len(rows) > size:
+        return None
+    ids, x = np.array([r["query_id"] for r in rows], np.int64), np.array([r["embedding"] for r in rows], np.float64).reshape(-1, dim)
+    return ids, x, np.array([r["shard_id"] for r in rows], np.int32) if own_shards else None
+
+
+class _Meeting:
+    """What a task holds for a block of queries: the best rows of all, or of each shard, or of the queries' own shards."""
+
+    def __init__(self, block: _Block, k: int, metric: Metric):
+        self.ids, self.q, self.own = block
+        self.k, self.metric = k, metric
+        self.held: dict[int | None, tuple[np.ndarray, BlockTopK]] = {}
+
+    def add(self, x: np.ndarray, ids: np.ndarray, shards: np.ndarray | None) -> None:
+        for shard in np.unique(shards).tolist() if shards is not None else (None,):
+            if shard not in self.held:
+                asking = np.arange(len(self.q)) if self.own is None else np.flatnonzero(self.own == shard)
+                self.held[shard] = asking, BlockTopK(len(asking), self.k, self.metric)
+            asking, best = self.held[shard]
+            mine = slice(None) if shard is None else shards == shard
+            q, xs = self.q[asking], x[mine]
+            best.add(lambda a, b, q=q, xs=xs: score_matrix(self.metric, q[a], xs[b]), ids[mine])
+
+    def candidates(self) -> Iterator[pa.RecordBatch]:
+        for shard, (asking, best) in self.held.items():
+            i, found, score = best.columns()
+            columns, names = [pa.array(self.ids[asking][i]), pa.array(found), pa.array(score)], ["query_id", "id", "score"]
+            if shard is not None:
+                columns.append(pa.array(np.full(len(i), shard, np.int32)))
+                names.append("shard_id")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def packed(df: DataFrame, key: str, dim: int, rows: int, shards: bool = False) -> DataFrame:
@@ -96,35 +109,33 @@ def packed(df: DataFrame, key: str, dim: int, rows: int, shards: bool = False) -
     return df.select(key, "embedding", *(["shard_id"] if shards else [])).mapInArrow(run, "ids binary, x binary, shards binary")
 
 
-def _local(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric, dim: int, per_shard: bool) -> DataFrame | None:
-    """Candidates of every query: a task's k best; with ``per_shard`` each shard's, and its number. None without queries."""
+def _local(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric, dim: int, per_shard: bool, own_shards: bool = False) -> DataFrame | None:
+    """Candidates of every query: a task's k best; with ``per_shard`` each shard's, and its number, with ``own_shards`` of the query's own alone. None without queries."""
     schema = RESULT + (", shard_id int" if per_shard else "")
-    one = _one_block(queries, dim)
+    one = _one_block(queries, dim, own_shards)
     if one is not None:
         if not len(one[0]):
             return None
         sent = vectors.sparkSession.sparkContext.broadcast(one)
 
         def run(batches):
-            own_ids, q = sent.value
-            held: dict[int | None, BlockTopK] = {}
+            met = _Meeting(sent.value, k, metric)
             for b in batches:
-                _meet(held, metric, k, q, matrix(b["embedding"], dim), b["id"].to_numpy(zero_copy_only=False), b["shard_id"].to_numpy(zero_copy_only=False) if per_shard else None)
-            yield from _candidates(metric, k, own_ids, held)
+                met.add(matrix(b["embedding"], dim), b["id"].to_numpy(zero_copy_only=False), b["shard_id"].to_numpy(zero_copy_only=False) if per_shard else None)
+            yield from met.candidates()
 
         return vectors.select("id", "embedding", *(["shard_id"] if per_shard else [])).mapInArrow(run, schema)
     rows = max(1, SENT_BYTES // (32 * dim))
     mine = packed(vectors, "id", dim, rows, per_shard)
-    others = packed(queries, "query_id", dim, rows).select(F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+    others = packed(queries, "query_id", dim, rows, own_shards).select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "shards")])
 
     def meet(batches):
         for b in batches:
-            for ids, x, shards, q_ids, q_x in zip(*(b[c] for c in ("ids", "x", "shards", "q_ids", "q_x")), strict=True):
-                flat = [np.frombuffer(v.as_buffer(), t) for v, t in ((ids, np.int64), (x, np.float64), (q_ids, np.int64), (q_x, np.float64))]
-                held: dict[int | None, BlockTopK] = {}
-                own = np.frombuffer(shards.as_buffer(), np.int32) if per_shard else None
-                _meet(held, metric, k, flat[3].reshape(-1, dim), flat[1].reshape(-1, dim), flat[0], own)
-                yield from _candidates(metric, k, flat[2], held)
+            for row in zip(*(b[c] for c in ("ids", "x", "shards", "q_ids", "q_x", "q_shards")), strict=True):
+                ids, x, shards, q_ids, q_x, q_shards = (np.frombuffer(v.as_buffer(), t) for v, t in zip(row, (np.int64, np.float64, np.int32) * 2, strict=True))
+                met = _Meeting((q_ids, q_x.reshape(-1, dim), q_shards if own_shards else None), k, metric)
+                met.add(x.reshape(-1, dim), ids, shards if per_shard else None)
+                yield from met.candidates()
 
     return mine.crossJoin(others).mapInArrow(meet, schema)
 
@@ -171,10 +182,9 @@ def _replicated(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric,
         for b in batches:
             q, own = matrix(b["embedding"], dim), b["query_id"].to_numpy(zero_copy_only=False)
             for lo in range(0, len(q), 1024):
-                some = q[lo : lo + 1024]
-                held: dict[int | None, BlockTopK] = {}
-                _meet(held, metric, k, some, x, ids, None)
-                yield from _candidates(metric, k, own[lo : lo + 1024], held)
+                met = _Meeting((own[lo : lo + 1024], q[lo : lo + 1024], None), k, metric)
+                met.add(x, ids, None)
+                yield from met.candidates()
 
     return top_k(queries.select("query_id", "embedding").mapInArrow(run, RESULT), k, metric).select("query_id", "rank", "id", "score")
 
@@ -190,6 +200,17 @@ def local_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Me
     return top_k(found, k, m, by=("query_id", "shard_id")).select("query_id", "shard_id", "rank", "id", "score")
 
 
+def within(vectors: DataFrame, queries: DataFrame, k: int, metric: str | Metric = "l2") -> DataFrame:
+    """(query_id, rank, id, score): the k best rows whose shard_id is the query's own; other rows are not scored. Null shards match nothing."""
+    m, dim = parse(metric), dimension(vectors)
+    check_dimension(dim, queries)
+    share_path(vectors.sparkSession)
+    found = _local(vectors.where("shard_id IS NOT NULL"), queries.where("shard_id IS NOT NULL"), k, m, dim, True, True) if k else None
+    if found is None:
+        return _empty(vectors)
+    return top_k(found, k, m).select("query_id", "rank", "id", "score")
+
+
 def search(vectors: DataFrame, query: list[float], k: int, metric: str | Metric = "l2") -> DataFrame:
     """(rank, id, score) of one query, by expressions and a take-ordered plan alone."""
     m, dim = parse(metric), dimension(vectors)

@@ -95,9 +95,8 @@ def knn_merge(spark, sf_dir):
 def knn_filtered(spark, sf_dir):
     """Neighbours of the query's own label."""
     v = scaled(spark, sf_dir)
-    found = knn.local_top_k(v.withColumn("shard_id", F.col("label").cast("int")), asked(v), K, "l2")
-    own = asked(v).select("query_id", F.col("label").cast("int").alias("shard_id"))
-    return rounded(found.join(own, ["query_id", "shard_id"]).select("query_id", "rank", "id", "score"))
+    own = v.withColumn("shard_id", F.col("label").cast("int"))
+    return rounded(knn.within(own, asked(own), K, "l2"))
 
 
 def norms(spark, sf_dir):
@@ -318,7 +317,7 @@ def vector_file_roundtrip(spark, sf_dir):
     """All vectors written as binary files into the shared folder and read again."""
     folder = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     v = vectors(spark, sf_dir)
-    vector_file.write_vectors(v, folder.removeprefix("file:").replace("///", "/") if folder.startswith("file:") else folder)
+    vector_file.write_vectors(v, folder)
     return rounded(vector_file.read_vectors(spark, folder).select("id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double")), "value")
 
 

@@ -1,19 +1,20 @@
 """Binary vector files: a header and a flat buffer of 32-bit floats, a row's position being its id.
 
 ``read_vectors`` goes through Spark's own file readers, so any path works that Spark can open; files
-are its unit of parallel work. The data source "vector_file" reads row ranges of one large file, or
-writes a folder of shard files, on paths that every node has mounted.
+are its unit of parallel work, and each has to fit in a row, below 2 GiB. The data source "vector_file"
+reads row ranges of files of any size, or writes a folder of shard files, through Arrow's file systems: a
+plain path that every node has mounted, or an address that they know (file:, hdfs:, s3:, gs:).
 """
 
 from __future__ import annotations
 
-import glob
-import os
 import struct
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as files
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -72,15 +73,32 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return files.select(number.alias("shard_id"), "path", "content").mapInArrow(run, SCHEMA)
 
 
+def located(path: str) -> tuple[files.FileSystem, str]:
+    """The file system of an address or plain path, and the path in it."""
+    if ":/" in path:
+        # Spark writes file:/x, Arrow reads file:///x
+        return files.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+    return files.LocalFileSystem(), path
+
+
+def _size(fs: files.FileSystem, path: str) -> int | None:
+    """A file's bytes, None if there is none."""
+    info = fs.get_file_info(path)
+    return info.size if info.is_file else None
+
+
+def header(fs: files.FileSystem, path: str) -> tuple[int, int]:
+    with fs.open_input_file(path) as f:
+        return parse_header(f.read(HEADER.size), f.size(), path)
+
+
 def discover(folder: str) -> list[str]:
-    """shard_0.bin, shard_1.bin and so on up to the first gap; all must have one dimension."""
+    """shard_0.bin, shard_1.bin and so on up to the first gap, as paths of the folder's file system; all must have one dimension."""
+    fs, root = located(folder)
     found: list[str] = []
-    while os.path.exists(name := f"{folder}/shard_{len(found)}.bin"):
+    while _size(fs, name := f"{root}/shard_{len(found)}.bin") is not None:
         found.append(name)
-    dims = {}
-    for name in found:
-        with open(name, "rb") as f:
-            dims[name] = parse_header(f.read(HEADER.size), os.path.getsize(name), name)[1]
+    dims = {name: header(fs, name)[1] for name in found}
     for name in found[1:]:
         if dims[name] != dims[found[0]]:
             raise DimensionMismatch(dims[found[0]], dims[name])
@@ -97,17 +115,17 @@ class Reader(DataSourceReader):
         self.path, self.rows = options["path"], int(options.get("rowsPerPartition", 1_000_000))
 
     def partitions(self) -> list[Range]:
-        names = discover(self.path) if os.path.isdir(self.path) else [self.path]
+        fs, path = located(self.path)
+        names = discover(self.path) if fs.get_file_info(path).type == files.FileType.Directory else [path]
         out = []
         for shard, name in enumerate(names):
-            with open(name, "rb") as f:
-                n, dim = parse_header(f.read(HEADER.size), os.path.getsize(name), name)
+            n, dim = header(fs, name)
             out += [Range(name, shard, lo, min(n, lo + self.rows), dim) for lo in range(0, max(n, 1), self.rows)]
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         path, shard, first, last, dim = partition.value
-        with open(path, "rb") as f:
+        with located(self.path)[0].open_input_file(path) as f:
             f.seek(HEADER.size + 4 * dim * first)
             for lo in range(first, last, 10_000):
                 n = min(10_000, last - lo)
@@ -129,10 +147,11 @@ class Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name, rows, dim = f"{self.path}/.part-{task.partitionId()}-{task.taskAttemptId()}", 0, 0
-        with open(name, "wb") as f:
-            f.write(HEADER.pack(MAGIC, 0, 0))
+        fs, root = located(self.path)
+        fs.create_dir(root, recursive=True)
+        name, rows, dim = f"{root}/.part-{task.partitionId()}-{task.taskAttemptId()}", 0, 0
+        # the header tells the rows, which are known at the end: they wait in the task's scratch file
+        with tempfile.TemporaryFile() as scratch:
             for b in iterator:
                 if not len(b):
                     continue
@@ -141,28 +160,34 @@ class Writer(DataSourceArrowWriter):
                 if column.null_count or len(sizes) != 1 or dim not in (0, *sizes):
                     raise DimensionMismatch(dim or min(sizes), max(sizes))
                 dim = sizes.pop()
-                f.write(matrix(column, dim).astype("<f4").tobytes())
+                scratch.write(matrix(column, dim).astype("<f4").tobytes())
                 rows += len(b)
-            f.seek(0)
-            f.write(HEADER.pack(MAGIC, rows, dim))
+            scratch.seek(0)
+            with fs.open_output_stream(name) as f:
+                f.write(HEADER.pack(MAGIC, rows, dim))
+                while part := scratch.read(1 << 22):
+                    f.write(part)
         return Written(task.partitionId(), name, rows)
 
     def commit(self, messages: list[Written]) -> None:
+        fs, root = located(self.path)
         if self.overwrite:
-            for old in glob.glob(f"{self.path}/shard_*.bin"):
-                os.remove(old)
+            for old in fs.get_file_info(files.FileSelector(root, allow_not_found=True)):
+                if old.base_name.startswith("shard_") and old.base_name.endswith(".bin"):
+                    fs.delete_file(old.path)
         first, number = len(discover(self.path)), 0
         for m in sorted((m for m in messages if m), key=lambda m: m.partition):
             if m.rows:
-                os.replace(m.path, f"{self.path}/shard_{first + number}.bin")
+                fs.move(m.path, f"{root}/shard_{first + number}.bin")
                 number += 1
             else:
-                os.remove(m.path)
+                fs.delete_file(m.path)
 
     def abort(self, messages: list[Written]) -> None:
+        fs, _ = located(self.path)
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            if m and _size(fs, m.path) is not None:
+                fs.delete_file(m.path)
 
 
 class VectorFileSource(DataSource):
@@ -185,9 +210,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(VectorFileSource)
 
 
-def write_vectors(vectors: DataFrame, folder: str, shards: int = 1) -> None:
-    """Writes (id, embedding) in the order of ids to ``shards`` files at most, over what the folder held."""
+#: Rows that one written file is meant to hold.
+FILE_ROWS = 1_000_000
+
+
+def write_vectors(vectors: DataFrame, folder: str, shards: int | None = None) -> None:
+    """Writes (id, embedding) in the order of ids to ``shards`` files at most, over what the folder held; each task writes one.
+
+    Without ``shards`` there are as many as give each FILE_ROWS rows or fewer.
+    """
     dimension(vectors)
     register(vectors.sparkSession)
-    ordered = vectors.select("id", "embedding").repartitionByRange(shards, "id") if shards > 1 else vectors.select("id", "embedding").coalesce(1)
+    own = vectors.select("id", "embedding")
+    shards = shards or max(1, -(-own.count() // FILE_ROWS))
+    ordered = own.repartitionByRange(shards, "id") if shards > 1 else own.coalesce(1)
     ordered.sortWithinPartitions("id").write.format("vector_file").mode("overwrite").save(folder)

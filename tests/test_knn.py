@@ -66,6 +66,9 @@ def test_packed_blocks_meet_in_one_scan(spark, monkeypatch, tmp_path, parts):
     assert ids(found) == brute(x, q, 3, "l2")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
     sharded = vectors(spark, x).withColumn("shard_id", F.col("id").cast("int") % 2)
+    own = knn.within(sharded, queries(spark, q).withColumn("shard_id", F.col("query_id").cast("int") % 2), 3)
+    want = [i for n in range(len(q)) for i in [2 * j + n % 2 for j in brute(x[n % 2 :: 2], q[n : n + 1], 3, "l2")]]
+    assert ids(own) == want
     local = knn.local_top_k(sharded, queries(spark, q), 2).collect()
     assert len(local) == 23 * 2 * 2 and all(r["id"] % 2 == r["shard_id"] for r in local)
 

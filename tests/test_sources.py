@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from helpers import ids, queries, vectors, wave
@@ -105,3 +107,17 @@ def test_commands(spark, tmp_path):
     assert index_files.decode_centroids(index_files.load(str(tmp_path / "c.bin"))).centroids.shape == (3, 4)
     cli.main(["search", "--data", data, "--queries", asked, "--k", "5", "--out", str(tmp_path / "found")])
     assert sorted((r["query_id"], len(r["top_k"])) for r in spark.read.json(str(tmp_path / "found")).collect()) == [(0, 5), (1, 5), (2, 5)]
+
+
+def test_command_line_of_indexes(spark, tmp_path):
+    for name, n, files in (("data", 40, 2), ("asked", 3, 1)):
+        vector_file.write_vectors(vectors(spark, wave(n, 8, 7, 13, 3, 97, 0.01), 2), f"file:{tmp_path}/{name}", files)
+    data, asked = str(tmp_path / "data"), str(tmp_path / "asked")
+    for kind, parameter in (("hnsw", 60), ("ivf_pq", 64)):
+        cli.main(["build-index", "--data", data, "--kind", kind, "--out", str(tmp_path / kind)])
+        cli.main(["search-index", "--index", str(tmp_path / kind), "--kind", kind, "--queries", asked, "--k", "4", "--parameter", str(parameter), "--out", str(tmp_path / f"{kind}_found")])
+        found = spark.read.json(str(tmp_path / f"{kind}_found"))
+        assert {"query_id", "rank", "id", "score"} == set(found.columns) and found.count() > 0
+    cli.main(["bench", "--data", data, "--queries", asked, "--k", "3", "--repeat", "3", "--out", str(tmp_path / "bench.json")])
+    told = json.loads(index_files.load(f"file:{tmp_path}/bench.json"))
+    assert told["ready"] == told["shards"] == told["answered"] == 2 and told["queries"] == 3 and told["seconds"]["p50"] > 0
