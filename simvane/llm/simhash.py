@@ -158,7 +158,8 @@ def close_edges(distinct: DataFrame, p: Parameters) -> DataFrame:
     met = distinct.select("fp").mapInArrow(spread, "anchor long, fp long, home boolean")
     # an anchor without a home compares nothing; one with a single fingerprint neither
     sizes = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("lived")).where("lived AND n > 1")
-    sizes = sizes.select("anchor", F.ceil(F.col("n") / p.chunk).cast("int").alias("chunks"))
+    # written, so that the join alone deals by anchor: Spark may split a hot anchor's rows before they are cut into chunks
+    sizes = cut(sizes.select("anchor", F.ceil(F.col("n") / p.chunk).cast("int").alias("chunks")))
     own = met.join(sizes, "anchor")
     # chunk i meets all chunks j: a home row is a left row of (i, j) for every j; any row is a right row of (i, j) for every i
     chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
