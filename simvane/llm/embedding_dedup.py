@@ -2,8 +2,8 @@
 
 Equal vectors become one node. Random hyperplanes deal the nodes into small leaves, several times over;
 the best partners inside the leaves begin each node's neighbour list. A round then lets every node
-introduce its neighbours, listed or listing it, to one another and keeps the best in each list, until
-no list changes. Two links in a row span at most twice the threshold's angle, so partners farther away
+introduce its neighbours, listed or listing it, to one another, but for pairs that have met there
+before, and keeps the best in each list, until no list changes. Two links in a row span at most twice the threshold's angle, so partners farther away
 are never listed. A list that is full of partners above the threshold is saturated: its length doubles,
 and rounds go on, up to ``longest``.
 
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from simvane.llm.components import connected_components
 from simvane.llm.grouped import groups
+from simvane.operators.vectors import listed
 from simvane.session import cut, share_path
 
 _log = logging.getLogger(__name__)
@@ -46,7 +47,7 @@ class Parameters:
 
     threshold: float = 0.9
     neighbours: int = 10
-    longest: int = 40
+    longest: int = 20
     trees: int = 6
     shared: float = 0.98
     leaf: int = 512
@@ -95,36 +96,35 @@ def prepared(embeddings: DataFrame, width: str) -> DataFrame:
     return embeddings.select("vec_id", "embedding").mapInArrow(run, "vec_id long, v binary")
 
 
-#: Rows of a node's list, k its length; edges that are ``sure`` belong to a forest of links instead.
-EDGES = "u long, v long, s double, k int, sure boolean"
-_TYPES = pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_()
+#: Rows of a node's list, k its length, ``old`` if they stood there before a round; edges that are ``sure`` belong to a forest of links instead.
+EDGES = "u long, v long, s double, k int, old boolean, sure boolean"
+_TYPES = pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()
 _Part = tuple[np.ndarray, ...]
 
 
-def _listed(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: np.ndarray) -> _Part:
-    """Each node's k best distinct partners of those given, in order: (u, v, s, k, place in the list)."""
+def _listed(u: np.ndarray, v: np.ndarray, s: np.ndarray, k: np.ndarray, old: np.ndarray) -> _Part:
+    """Each node's k best distinct partners of those given, in order: (u, v, s, k, old)."""
     order = np.lexsort((-s, v, u))
-    u, v, s, k = u[order], v[order], s[order], k[order]
-    first = np.ones(len(u), bool)
-    first[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
+    u, v, s, k, old = (x[order] for x in (u, v, s, k, old))
+    first = np.flatnonzero((np.diff(u, prepend=u[:1] - 1) != 0) | (np.diff(v, prepend=v[:1] - 1) != 0))
+    old = np.logical_or.reduceat(old, first) if len(first) else old
     u, v, s, k = u[first], v[first], s[first], k[first]
     order = np.lexsort((v, -s, u))
-    u, v, s, k = u[order], v[order], s[order], k[order]
+    u, v, s, k, old = (x[order] for x in (u, v, s, k, old))
     starts = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
     sizes = np.diff(starts, append=len(u))
     k = np.repeat(np.maximum.reduceat(k, starts), sizes) if len(starts) else k
-    place = np.arange(len(u)) - np.repeat(starts, sizes)
-    kept = place < k
-    return u[kept], v[kept], s[kept], k[kept], place[kept]
+    kept = np.arange(len(u)) - np.repeat(starts, sizes) < k
+    return u[kept], v[kept], s[kept], k[kept], old[kept]
 
 
 def _sent(parts: list[list[_Part]]) -> pa.RecordBatch:
     """The blocks' list edges, the best k of each node, and their forests."""
     lists, forests = (tuple(np.concatenate(x) for x in zip(*p, strict=True)) for p in zip(*parts, strict=True))
-    lists = _listed(*lists)[:4]
+    lists = _listed(*lists, np.zeros(len(lists[0]), bool))
     n, m = len(lists[0]), len(forests[0])
-    columns = [*(np.concatenate(x) for x in zip(lists, (*forests, np.zeros(m, np.int32)), strict=True)), np.repeat([False, True], [n, m])]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True)], ["u", "v", "s", "k", "sure"])
+    columns = [*(np.concatenate(x) for x in zip(lists, (*forests, np.zeros(m, np.int32), np.zeros(m, bool)), strict=True)), np.repeat([False, True], [n, m])]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _TYPES, strict=True)], ["u", "v", "s", "k", "old", "sure"])
 
 
 def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,25 +143,29 @@ def _spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _compared(ids: np.ndarray, roots: np.ndarray, x: np.ndarray, p: Parameters, k: np.ndarray, worst: np.ndarray) -> list[_Part]:
-    """A block's partners of other roots, where they are in reach and gain on ``worst``, and a spanning forest of its links."""
+def _compared(ids: np.ndarray, roots: np.ndarray, x: np.ndarray, p: Parameters, k: np.ndarray, worst: np.ndarray, fresh: np.ndarray | None = None) -> list[_Part]:
+    """A block's best partners of other roots, in reach and a gain on ``worst``, and a spanning forest of its links.
+
+    With ``fresh`` only pairs with a fresh side count: others have met here before.
+    """
     scores = x @ x.T
     scores[roots[:, None] == roots[None, :]] = -3
-    a, b = np.nonzero(scores >= np.maximum(p.reach, worst)[:, None])
+    if fresh is not None:
+        scores[~(fresh[:, None] | fresh[None, :])] = -3
+    a, b = np.nonzero((scores >= p.reach) & (scores > worst[:, None]))
     s = scores[a, b]
     linked = np.flatnonzero((scores >= p.threshold).any(1))
     i, j = _spanning(scores[np.ix_(linked, linked)] >= p.threshold)
     i, j = linked[i], linked[j]
-    if len(a) > 4 * p.longest * len(ids):
-        a, b, s = (x[_top(a, s, p.longest)] for x in (a, b, s))
-    return [(ids[a], ids[b], s, k[a]), (ids[i], ids[j], scores[i, j])]
+    best = _top(a, s, k)
+    return [(ids[a[best]], ids[b[best]], s[best], k[a[best]]), (ids[i], ids[j], scores[i, j])]
 
 
-def _top(rows: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """The places of each row's k best scores; rows ascend."""
+def _top(rows: np.ndarray, scores: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The places of each row's best scores, k of its own; rows ascend."""
     order = np.lexsort((-scores, rows))
     starts = np.flatnonzero(np.diff(rows, prepend=-1))
-    return order[np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows))) < k]
+    return order[np.arange(len(rows)) - np.repeat(starts, np.diff(starts, append=len(rows))) < k[rows]]
 
 
 def _blockwise(batches, keys: list[str], most: int | None, compare):
@@ -170,7 +174,7 @@ def _blockwise(batches, keys: list[str], most: int | None, compare):
     for _, t in groups(batches, keys, most):
         parts.append(compare(t))
         rows += len(parts[-1][0][0]) + len(parts[-1][1][0])
-        if rows > 200_000 or len(parts) > 5000:
+        if rows > 500_000 or len(parts) > 20_000:
             yield _sent(parts)
             parts, rows = [], 0
     if parts:
@@ -230,7 +234,7 @@ def leaf_edges(nodes: DataFrame, width: str, count: int, first: int, trees: int,
     return dealt.mapInArrow(lambda batches: _blockwise(batches, keys, 2 * p.block, compare), EDGES)
 
 
-LISTS = "u long, v long, s double, worst double, k int"
+LISTS = "u long, v long, s double, worst double, k int, old boolean"
 
 
 def best_lists(edges: DataFrame, p: Parameters) -> DataFrame:
@@ -240,7 +244,7 @@ def best_lists(edges: DataFrame, p: Parameters) -> DataFrame:
     """
 
     def close(parts: list[_Part]) -> pa.RecordBatch:
-        u, v, s, k, _ = _listed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        u, v, s, k, old = _listed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         starts = np.flatnonzero(np.diff(u, prepend=u[:1] - 1))
         sizes = np.diff(starts, append=len(u))
         last, length = s[starts + sizes - 1], k[starts]
@@ -248,15 +252,16 @@ def best_lists(edges: DataFrame, p: Parameters) -> DataFrame:
         grows = (worst >= p.threshold) & (length < p.longest)
         length = np.where(grows, np.minimum(2 * length, p.longest), length)
         worst[grows] = -2.0
-        columns = [u, v, s, np.repeat(worst, sizes), np.repeat(length, sizes)]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*_TYPES[:3], pa.float64(), pa.int32()), strict=True)], ["u", "v", "s", "worst", "k"])
+        old = old & ~np.repeat(grows, sizes)  # what has met without a gain may gain now
+        columns = [u, v, s, np.repeat(worst, sizes), np.repeat(length, sizes), old]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (*_TYPES[:3], pa.float64(), pa.int32(), pa.bool_()), strict=True)], ["u", "v", "s", "worst", "k", "old"])
 
     def trim(batches):
         parts: list[_Part] = []
         for b in batches:
             if not len(b):
                 continue
-            new = tuple(b[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "s", "k"))
+            new = tuple(b[c].to_numpy(zero_copy_only=False) for c in ("u", "v", "s", "k", "old"))
             last = int(np.searchsorted(new[0], new[0][-1]))  # where the last, still open node begins
             if last:
                 yield close([*parts, tuple(x[:last] for x in new)])
@@ -266,11 +271,11 @@ def best_lists(edges: DataFrame, p: Parameters) -> DataFrame:
                 parts = []
             parts.append(tuple(x[last:] for x in new))
             if sum(len(x[0]) for x in parts) > 100_000:  # a node that very many blocks know
-                parts = [_listed(*(np.concatenate(x) for x in zip(*parts, strict=True)))[:4]]
+                parts = [_listed(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
         if parts:
             yield close(parts)
 
-    return edges.select("u", "v", "s", "k").repartition("u").sortWithinPartitions("u").mapInArrow(trim, LISTS)
+    return edges.select("u", "v", "s", "k", "old").repartition("u").sortWithinPartitions("u").mapInArrow(trim, LISTS)
 
 
 def introduced(lists: DataFrame, nodes: DataFrame, width: str, p: Parameters) -> DataFrame:
@@ -281,15 +286,16 @@ def introduced(lists: DataFrame, nodes: DataFrame, width: str, p: Parameters) ->
     state = lists.groupBy("u").agg(F.max("worst").alias("worst"), F.max("k").alias("k")).withColumnRenamed("u", "node")
     known = nodes.select("node", "v", "root").join(state, "node", "left")
     known = known.select("node", F.col("v").alias("vector"), "root", F.coalesce("worst", F.lit(-2.0)).alias("worst"), F.coalesce("k", F.lit(p.neighbours)).alias("k"))
-    listed = lists.select("u", "v")
-    links = listed.unionByName(listed.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().withColumnRenamed("v", "host")
-    guests = links.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("host", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
+    listed = lists.select("u", "v", "old")
+    both = listed.unionByName(listed.select(F.col("v").alias("u"), F.col("u").alias("v"), "old"))
+    links = both.groupBy("u", F.col("v").alias("host")).agg((~F.min("old")).alias("fresh"))
+    guests = links.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("some")).where("n > 1 AND some").select("host", F.ceil(F.col("n") / p.block).cast("int").alias("blocks"))
     sent = links.join(guests, "host").join(known, F.col("u") == F.col("node"))
     sent = sent.withColumn("own", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("host", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("u").alias("guest"), "vector", "root", "worst", "k")
+    sent = sent.select("host", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("u").alias("guest"), "vector", "root", "worst", "k", "fresh")
 
     def compare(t: pa.Table) -> list[_Part]:
-        return _compared(t["guest"].to_numpy(), t["root"].to_numpy(), _unit(t["vector"], width), p, t["k"].to_numpy(), t["worst"].to_numpy())
+        return _compared(t["guest"].to_numpy(), t["root"].to_numpy(), _unit(t["vector"], width), p, t["k"].to_numpy(), t["worst"].to_numpy(), t["fresh"].to_numpy(zero_copy_only=False))
 
     keys = ["host", "i", "j"]
     return sent.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _blockwise(batches, keys, None, compare), EDGES)
@@ -297,17 +303,17 @@ def introduced(lists: DataFrame, nodes: DataFrame, width: str, p: Parameters) ->
 
 def descend(nodes: DataFrame, lists: DataFrame | None, width: str, total: int, first: int, trees: int, p: Parameters) -> tuple[DataFrame, DataFrame]:
     """Lists of the best partners of other roots, after leaves and rounds, and the threshold edges (a, b) that were met."""
-    flat = lambda t: t.select("u", "v", "s", "k")
+    flat = lambda t, old=False: t.select("u", "v", "s", "k", F.lit(old).alias("old"))
     state = lambda t: tuple(t.agg(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count(F.lit(1)), F.sum("k")).first())
     edges = cut(leaf_edges(nodes, width, total, first, trees, p))
     forests = [edges.where("sure").select("u", "v")]
     edges = flat(edges.where("NOT sure"))
-    now = cut(best_lists(edges if lists is None else edges.unionByName(flat(lists)), p))
+    now = cut(best_lists(edges if lists is None else edges.unionByName(flat(lists, True)), p))
     after = state(now)
     for _ in range(p.rounds if after[1] else 0):
         before, new = after, cut(introduced(now, nodes, width, p))
         forests.append(new.where("sure").select("u", "v"))
-        now = cut(best_lists(flat(now).unionByName(flat(new.where("NOT sure"))), p))
+        now = cut(best_lists(flat(now, True).unionByName(flat(new.where("NOT sure"))), p))
         after = state(now)
         if after == before:
             break
@@ -353,28 +359,35 @@ def exact_forest(nodes: DataFrame, width: str, total: int, p: Parameters) -> Dat
 
 
 def blocks_of(roots: DataFrame, nodes: DataFrame, width: str, p: Parameters) -> DataFrame:
-    """(root, block, node, v, copies): components in blocks of near members; hyperplanes deal a large one out, and chance what still is too large."""
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.least(F.lit(SPARE), F.ceil(F.log2(F.col("n") / p.part))).cast("int").alias("bits"))
-    member = roots.join(sizes, "root").join(nodes, "node").select("root", "node", "v", "copies", F.greatest("bits", F.lit(0)).alias("bits"))
+    """(root, block, node, v, copies): components in blocks of near members.
 
-    def deal(batches):
+    Planes cut a large component, as many as bring its cells near the size of a block, each somewhere about its
+    middle; chance parts a cell that still is too large.
+    """
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.greatest(F.lit(0), F.least(F.lit(SPARE), F.ceil(F.log2(F.col("n") / p.part)))).cast("int").alias("bits"))
+    member = cut(roots.join(sizes, "root").join(nodes, "node").select("root", "node", "v", "copies", "bits"))
+
+    def project(batches):
         planes: dict[int, np.ndarray] = {}
         for b in batches:
-            code, bits = np.zeros(len(b), np.int64), b["bits"].to_numpy()
             lengths = np.array([len(x) for x in b["v"].to_pylist()])
-            for length in np.unique(lengths[bits > 0]):
-                some = np.flatnonzero((lengths == length) & (bits > 0))
+            for length in np.unique(lengths).tolist():
+                own = b.filter(pa.array(lengths == length))
                 if length not in planes:
-                    planes[length] = np.random.default_rng([p.seed, int(length)]).normal(size=(int(length) // np.dtype(width).itemsize, SPARE))
-                # planes through the rows' own middle would part them better, but differ from task to task
-                sides = (_unit(b["v"].take(pa.array(some)), width) @ planes[length]) > 0
-                code[some] = (sides @ (np.int64(1) << np.arange(SPARE, dtype=np.int64))) & ((np.int64(1) << bits[some].astype(np.int64)) - 1)
-            yield pa.RecordBatch.from_arrays([b["root"], b["node"], b["v"], b["copies"], pa.array(code)], ["root", "node", "v", "copies", "code"])
-
-    dealt = cut(member.mapInArrow(deal, "root long, node long, v binary, copies long, code long"))
-    large = dealt.groupBy("root", "code").agg(F.ceil(F.count(F.lit(1)) / p.part).cast("long").alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-    return dealt.join(large, ["root", "code"], "left").select("root", (F.col("code") + F.shiftleft(part, SPARE)).alias("block"), "node", "v", "copies")
+                    planes[length] = np.random.default_rng([p.seed, length]).normal(size=(length // np.dtype(width).itemsize, SPARE))
+                found = _unit(own["v"], width) @ planes[length]
+                yield pa.RecordBatch.from_arrays([own["root"], own["node"], own["bits"], listed(found)], ["root", "node", "bits", "along"])
+
+    along = cut(member.where("bits > 0").mapInArrow(project, "root long, node long, bits int, along array<double>"))
+    at = np.random.default_rng(p.seed).normal(size=SPARE) * 0.8
+    middle = [F.avg(F.col("along")[i]) + F.coalesce(F.stddev_pop(F.col("along")[i]), F.lit(0.0)) * float(at[i]) for i in range(SPARE)]
+    middles = cut(along.groupBy("root").agg(F.array(*middle).alias("cuts")))
+    code = F.aggregate(F.zip_with("along", "cuts", lambda x, y: F.when(x > y, 1).otherwise(0)), F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("c")), lambda acc, x: F.struct((acc["i"] + 1).alias("i"), F.when(acc["i"] < F.col("bits"), acc["c"] * 2 + x).otherwise(acc["c"]).cast("long").alias("c")), lambda acc: acc["c"])
+    cells = along.join(middles, "root").select("root", "node", code.alias("code"))
+    large = cells.groupBy("root", "code").agg(F.ceil(F.count(F.lit(1)) / p.part).cast("long").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    placed = cells.join(large, ["root", "code"]).select("node", (F.col("code") + F.shiftleft(part, SPARE)).alias("block"))
+    return member.join(placed, "node", "left").select("root", F.coalesce("block", F.lit(0)).cast("long").alias("block"), "node", "v", "copies")
 
 
 def block_pairs(members: DataFrame, width: str, p: Parameters) -> DataFrame:

@@ -469,6 +469,42 @@ def test_small_groups_beside_a_hot_one_are_audited(spark):
     assert groups_found(spark, x, embedding_dedup.Parameters(leaf=4, block=16, trees=1, rounds=0, attempts=1)) == groups_wanted(x)
 
 
+def test_saturated_lists_grow(spark):
+    r = np.random.default_rng(5)
+    x = np.vstack([r.normal(size=32) + r.normal(size=(16, 32)) * 0.05, r.normal(size=(40, 32))])
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes()), i) for i, v in enumerate(x)], "node long, v binary, root long").repartition(3)
+    lists, met = embedding_dedup.descend(nodes, None, "<f8", len(x), 0, 1, embedding_dedup.Parameters(neighbours=4, longest=16))
+    found = {}
+    for t in lists.collect():
+        found.setdefault(t["u"], set()).add(t["v"])
+        assert t["k"] == 16 and t["worst"] == -2.0, "a list that holds all links isn't full any more"
+    assert found == {i: {*range(16)} - {i} for i in range(16)}
+    root = {t["node"]: t["root"] for t in cc.connected_components(met).collect()}
+    assert root == dict.fromkeys(range(16), 0)
+    full = embedding_dedup.descend(nodes, None, "<f8", len(x), 0, 1, embedding_dedup.Parameters(neighbours=4, longest=8))[0]
+    assert {t["worst"] >= 0.9 for t in full.collect()} == {True}, "at its longest a saturated list stays so"
+
+
+def test_large_components_by_blocks(spark):
+    """A chain of groups, 5,000 vectors in one component, against brute force; some blocks link as a whole."""
+    r = np.random.default_rng(6)
+    axes = np.linalg.qr(r.normal(size=(24, 2)))[0].T
+    angles = np.repeat(np.arange(25) * 0.1, 200) + r.normal(size=5000) * 0.004
+    x = np.cos(angles)[:, None] * axes[0] + np.sin(angles)[:, None] * axes[1] + r.normal(size=(5000, 24)) * 0.002
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = [int((unit[i] @ unit.T >= 0.9).sum()) - 1 for i in range(5000)]
+    got = groups_found(spark, x, embedding_dedup.Parameters())
+    assert [got[i] for i in range(5000)] == [(n, 0) for n in want]
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes()), 1) for i, v in enumerate(x)], "node long, v binary, copies long")
+    members = embedding_dedup.blocks_of(nodes.selectExpr("node", "0L AS root"), nodes, "<f8", embedding_dedup.Parameters())
+    pairs = embedding_dedup.block_pairs(members.cache(), "<f8", embedding_dedup.Parameters())
+    kinds = {t["whole"]: t["n"] for t in pairs.groupBy("whole").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    blocks = members.select("block").distinct().count()
+    every = blocks * (blocks + 1) // 2
+    print("blocks", blocks, "pairs", every, kinds)
+    assert kinds[True] > 0 and kinds[False] < 0.6 * every, "bounds settle blocks that all link, and those that don't"
+
+
 def test_all_vectors_meet_in_parts(spark):
     x = hot_and_pairs()
     nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, v binary").repartition(3)
