@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -29,8 +30,8 @@ def class_sample(labels: DataFrame, label: str, per_class: int) -> tuple[DataFra
     return labels.sparkSession.createDataFrame(rows, "doc_id long, y int"), sizes
 
 
-def sampled_features(documents: DataFrame, sample: DataFrame, featurise: Callable[[pa.Array], list[bytes]], most_bytes: int) -> list[tuple[int, int, bytes]]:
-    """(doc_id, y, features) of the sampled documents, sorted by id.
+def sampled_features(documents: DataFrame, sample: DataFrame, featurise: Callable[[pa.Array], list[bytes]], most_bytes: int) -> list[tuple[int, int, pa.Buffer]]:
+    """(doc_id, y, features) of the sampled documents, sorted by id; the features lie in Arrow's memory, held once.
 
     Of each class, rows come in the order of an id's hash while they have at most half of ``most_bytes``:
     few long texts then make up the sample, and neither their number nor their length fills the driver.
@@ -48,5 +49,6 @@ def sampled_features(documents: DataFrame, sample: DataFrame, featurise: Callabl
     # of no more rows than the sample has: a running sum is cheap
     order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.sha2("features", 256)).rowsBetween(Window.unboundedPreceding, 0)
     held = made.withColumn("held", F.sum(F.length("features")).over(order))
-    found = held.where((F.col("held") <= most_bytes // 2) | (F.col("held") == F.length("features"))).select("doc_id", "y", "features").collect()
-    return sorted((r["doc_id"], r["y"], bytes(r["features"])) for r in found)
+    found = held.where((F.col("held") <= most_bytes // 2) | (F.col("held") == F.length("features"))).select("doc_id", "y", "features").toArrow()
+    rows = zip(found["doc_id"].to_pylist(), found["y"].to_pylist(), (x.as_buffer() for x in found["features"]), strict=True)
+    return sorted(rows, key=lambda r: (r[0], r[1], zlib.crc32(r[2])))

@@ -31,7 +31,7 @@ class Parameters:
     held_out: int = 0
     threshold: float = 0.3
     per_class: int = 3000
-    most_bytes: int = 128 << 20
+    most_bytes: int = 64 << 20
     bits: int = 18
     smoothing: float = 1.0
     cost: float = 1.0
@@ -168,7 +168,7 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
     return float(beta[0] / width), float(beta[1] - beta[0] * centre / width)
 
 
-def fit(rows: list[tuple[int, int, bytes]], sizes: dict[int, int], p: Parameters) -> Model:
+def fit(rows: list[tuple[int, int, bytes | pa.Buffer]], sizes: dict[int, int], p: Parameters) -> Model:
     """Fits on sampled (doc_id, y, bucket list); without both classes the score is the constant prior."""
     size = 1 << p.bits
     total = sum(sizes.values())
