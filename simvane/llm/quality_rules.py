@@ -49,7 +49,7 @@ class Rules:
     most_repeated: int = 50
     bands: dict[str, Band] = field(
         default_factory=lambda: {
-            "latin": Band((1.60, 8.0), (2.0, 8.0), 0.02, 0.615),
+            "latin": Band((1.15, 8.0), (1.75, 8.0), 0.02, 0.615),
             "cyrillic": Band((1.40, 8.0), (1.0, 8.0), 0.05, 0.55),
             "greek": Band((0.75, 6.0), (0.7, 8.0), 0.20, 0.50),
             "han": Band((0.40, 4.0), (0.4, 5.0), 0.80, 0.45),

@@ -130,6 +130,7 @@ def test_windows_of_many_distinct_words(monkeypatch):
 PROSE = {
     "latin": "The ship left the harbour before sunrise and nobody on the quay could say which captain had given the order. A grey wind came down from the hills, carrying the smell of wet hay and of coal smoke, while two fishermen argued about the price of rope. Later that morning the postmaster found an unsigned letter on his desk, folded twice, written in a careful hand that he almost recognised from years before.",
     "polish": "Statek opuścił port przed wschodem słońca i nikt na nabrzeżu nie potrafił powiedzieć, który kapitan wydał rozkaz. Szary wiatr schodził ze wzgórz, niosąc zapach mokrego siana i dymu, podczas gdy dwaj rybacy spierali się o cenę liny. Później tego ranka naczelnik poczty znalazł na biurku niepodpisany list, złożony na dwoje, napisany starannym pismem, które prawie rozpoznał sprzed wielu lat, choć nie umiał przypomnieć sobie nazwiska.",
+    "vietnamese": "Con tàu rời bến cảng trước khi mặt trời mọc và không ai trên bến có thể nói thuyền trưởng nào đã ra lệnh. Một cơn gió xám thổi xuống từ những ngọn đồi, mang theo mùi cỏ ướt và khói than, trong khi hai người đánh cá tranh cãi về giá dây thừng. Sáng hôm đó muộn hơn, người đưa thư tìm thấy trên bàn một lá thư không ký tên, gấp làm đôi, viết bằng nét chữ cẩn thận mà ông gần như nhận ra.",
     "cyrillic": "Корабль вышел из гавани ещё до рассвета, и никто на набережной не мог сказать, какой капитан отдал приказ. С холмов дул серый ветер, он нёс запах мокрого сена и угольного дыма, а двое рыбаков спорили о цене верёвки. Позже тем же утром почтмейстер нашёл на своём столе письмо без подписи, сложенное вдвое и написанное аккуратным почерком, который он почти узнал, хотя прошло уже много лет с тех пор.",
     "greek": "Το πλοίο έφυγε από το λιμάνι πριν από την ανατολή και κανείς στην προκυμαία δεν μπορούσε να πει ποιος καπετάνιος είχε δώσει τη διαταγή. Ένας γκρίζος άνεμος κατέβαινε από τους λόφους, φέρνοντας τη μυρωδιά του βρεγμένου άχυρου και του καπνού, ενώ δύο ψαράδες μάλωναν για την τιμή του σχοινιού. Αργότερα εκείνο το πρωί ο ταχυδρόμος βρήκε πάνω στο γραφείο του ένα ανυπόγραφο γράμμα, διπλωμένο στα δύο.",
 }
@@ -138,8 +139,8 @@ PROSE = {
 def test_natural_prose_is_kept():
     texts = [*PROSE.values(), "".join(f"今天早上第{i}艘船离开港口，码头上的人不知道是谁下的命令 " for i in range(60)).replace("第", " 第 ")]
     found = judged(texts)
-    assert found["script"].tolist() == ["latin", "latin", "cyrillic", "greek", "han"]
-    assert not found["base_failed"][:4].any() and found["kept"][:4].all()
+    assert found["script"].tolist() == ["latin", "latin", "latin", "cyrillic", "greek", "han"]
+    assert not found["base_failed"][:5].any() and found["kept"][:5].all()
 
 
 def test_each_measure_rejects_something():
@@ -147,8 +148,8 @@ def test_each_measure_rejects_something():
     r = random.Random(4)
     words = PROSE["latin"].split()
     texts = {
-        "chars_per_token": [" ".join("".join(r.choices("bcdfghjklmnpqrstvwxz", k=7)) for _ in range(90))],
-        "chars_per_pair": [" ".join(w + r.choice(["###", "&&&", "%%%", "***"]) for w in (PROSE["latin"] + " " + PROSE["polish"]).split())],
+        "chars_per_token": [" ".join("".join(r.choices("qxzjkvw7#*%&^", k=7)) for _ in range(90))],
+        "chars_per_pair": [" ".join("".join(r.choices("abcdef0123456789", k=8)) for _ in range(90))],
         "fallback_share": [" ".join(w + (chr(0x16A0 + r.randrange(70)) if i % 3 == 0 else "") for i, w in enumerate(words))],
         "token_entropy": [" ".join(r.choice(["yes", "no", "or", "not", "so"]) for _ in range(400))],
     }
