@@ -228,7 +228,7 @@ def quality_rules(documents: DataFrame, rules: Rules, keep: list[str] | None = N
     def run(batches):
         found = Fertility(rules)
         for b in batches:
-            cols = tx.per_block(b["text"], lambda data, offsets: judge(data, offsets, rules, found), 2 * tx.BLOCK_BYTES)
+            cols = tx.per_block(b["text"], lambda data, offsets: judge(data, offsets, rules, found), 8 * tx.BLOCK_BYTES)
             if keep is not None:
                 yield b.filter(pa.array(cols["kept"], pa.bool_()))
                 continue
