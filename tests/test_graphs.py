@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from simvane.config import HnswConfig, IvfPqConfig
 from simvane.errors import EmptyIndex, InvalidArgument, InvalidConfig, Unavailable, VectorIndexError
-from simvane.operators import cluster, hnsw, knn, recall
+from simvane.operators import cluster, hnsw, ivf, knn, recall
 
 
 @pytest.mark.parametrize(("metric", "n", "dim", "args", "ef", "least"), [("l2", 200, 128, (7, 13, 3, 10007, 0.001), 60, 0.9), ("cosine", 100, 96, (11, 19, 7, 101, 0.01), 80, 0.8), ("dot", 150, 64, (17, 5, 3, 10007, 0.001), 60, 0.9)])
@@ -94,6 +94,27 @@ def test_inverted_files_by_shard(spark):
     assert found.count() == 10 and {r[3] for r in index.stats()} == {"IVF-PQ"}
 
 
+def test_shards_of_indexes_that_exist(spark, tmp_path):
+    x = wave(90, 8, 7, 13, 3, 97, 0.01)
+    v, q = vectors(spark, x, 2), queries(spark, x[::45])
+    graphs = hnsw.build(hnsw.shard(v, 3), "l2", HnswConfig(8))
+    graphs.save(str(tmp_path / "g"))
+    index = cluster.ShardedIndex.of_graphs(hnsw.HnswIndex.load(spark, str(tmp_path / "g")))
+    assert len(index) == 3 and sum(s[1] for s in index.stats()) == 90 and all(index.ping().values())
+    assert [r["id"] for r in index.search(q, 5, 90).complete().orderBy("query_id", "rank").collect()] == ids(knn.knn(v, q, 5))
+    halves = {s: ivf.build(v.where(F.col("id") % 2 == s), IvfPqConfig(4, 4, 4, 16, 4)) for s in (1, 0)}
+    index = cluster.ShardedIndex.of_inverted_files(halves)
+    assert [s[0] for s in index.stats()] == [0, 1] and index.search(q, 5, 4).complete().count() == 10
+    other = cluster.ShardedIndex.build(three_shards(spark), "flat", "cosine").get(2)
+    with pytest.raises(InvalidArgument):
+        index.add(other)
+    index.remove(0)
+    index.remove(1)
+    assert index.is_empty() and index.get(1) is None
+    index.add(other)
+    assert len(index) == 1
+
+
 @pytest.mark.parametrize("kind", ["flat", "hnsw"])
 def test_scatter_and_gather(spark, kind):
     index = cluster.ShardedIndex.build(three_shards(spark), kind)
