@@ -45,10 +45,13 @@ def sampled_features(documents: DataFrame, sample: DataFrame, featurise: Callabl
                 yield pa.RecordBatch.from_arrays([some["doc_id"], some["y"], pa.array(featurise(some["text"]), pa.binary())], ["doc_id", "y", "features"])
 
     joined = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    made = cut(joined.select("doc_id", "y", "text").mapInArrow(run, schema))
-    # of no more rows than the sample has: a running sum is cheap
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", F.sha2("features", 256)).rowsBetween(Window.unboundedPreceding, 0)
-    held = made.withColumn("held", F.sum(F.length("features")).over(order))
-    found = held.where((F.col("held") <= most_bytes // 2) | (F.col("held") == F.length("features"))).select("doc_id", "y", "features").toArrow()
+    made = cut(joined.select("doc_id", "y", "text").mapInArrow(run, schema).withColumn("__sv_row", F.monotonically_increasing_id()))
+    # of no more rows than the sample has: a running sum is cheap, and what it chooses small
+    size = F.length("features")
+    slim = made.select("__sv_row", "doc_id", "y", size.alias("size"), F.sha2("features", 256).alias("twin"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "twin", "__sv_row").rowsBetween(Window.unboundedPreceding, 0)
+    held = slim.withColumn("held", F.sum("size").over(order))
+    chosen = held.where((F.col("held") <= most_bytes // 2) | (F.col("held") == F.col("size"))).select("__sv_row")
+    found = made.join(F.broadcast(chosen), "__sv_row").select("doc_id", "y", "features").toArrow()
     rows = zip(found["doc_id"].to_pylist(), found["y"].to_pylist(), (x.as_buffer() for x in found["features"]), strict=True)
     return sorted(rows, key=lambda r: (r[0], r[1], zlib.crc32(r[2])))
